@@ -2,8 +2,9 @@
 
 A text is cut where one space follows and precedes something other than white space, and around single
 line ends. The pre-tokeniser cuts there too, so pieces can be encoded one by one, and most pieces come
-back: each Python worker keeps the ids of the pieces it has met, up to CACHE of them. Everything that
-isn't in the cache goes through the library.
+back: each Python worker keeps the ids of the pieces that it has met, up to CACHE of them. A new piece
+of plain Latin letters, digits and ASCII signs is cut as the pre-tokeniser would and goes to the
+library's model; any other new piece goes through the library's whole encoder.
 """
 
 from __future__ import annotations
@@ -14,52 +15,70 @@ import numpy as np
 from tokenizers import Tokenizer
 
 CACHE = 400_000
-#: White space next to white space, or at an end: such texts are cut with more care.
-ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S\n ]")
-#: What the pre-tokeniser keeps together within a piece without white space.
-PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d+|[^\w\s]+|_+|.", re.S)
+#: White space next to white space or at an end, or of a rarer kind: such texts are cut with more care.
+ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S\n ]|<\|")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+PLAIN = re.compile(rf"[\x21-\x7e{LETTERS}]+")
+#: The pre-tokeniser's pattern, narrowed to what PLAIN lets through.
+PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
 class ByteBPE:
-    """Whole texts to ids, without special tokens. ``encode`` returns unsigned 32-bit ids."""
+    """Whole texts to ids, without special tokens of the end; ``encode`` returns unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        letters = byte_letters()
+        self.written = {c: "".join(letters[b] for b in chr(c).encode()) for c in [*range(0x20, 0x7F), *range(0xC0, 0x180)]}
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
-        self.newline = self._ids("\n")
+        self.parts: dict[str, bytes] = {}
+        self.newline = self._whole("\n")
 
-    def _ids(self, s: str) -> bytes:
+    def _whole(self, s: str) -> bytes:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
-        if len(cache) + len(missing) > CACHE:
-            cache.clear()
-        for s, e in zip(missing, self.tok.encode_batch([lead + s for s in missing], add_special_tokens=False)):
-            cache[s] = np.array(e.ids, dtype="<u4").tobytes()
+    def _new(self, piece: str, lead: str) -> bytes:
+        if not PLAIN.fullmatch(piece):
+            return self._whole(lead + piece)
+        out = []
+        for part in PARTS.findall(lead + piece):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= CACHE:
+                    self.parts.clear()
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.written))])
+                self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def _all(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
         got = list(map(cache.get, pieces))
         if None in got:
-            missing = list({p for p, g in zip(pieces, got) if g is None})
-            self._learn(cache, missing, lead)
-            got = [cache[p] if g is None else g for p, g in zip(pieces, got)] if len(cache) >= len(missing) and all(p in cache for p in pieces) else [cache.get(p) or self._ids(lead + p) for p in pieces]
+            if len(cache) >= CACHE:
+                cache.clear()
+            for k, g in enumerate(got):
+                if g is None:
+                    p = pieces[k]
+                    g = cache.get(p)
+                    got[k] = g if g is not None else cache.setdefault(p, self._new(p, lead) if p else self._whole(lead) if lead else b"")
         return got
 
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return b"".join([*self._all(self.plain, [first], ""), *self._all(self.spaced, rest, " ")]) if rest else self._all(self.plain, [first], "")[0]
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if ODD.search(text) or "<|" in text:
+        if ODD.search(text):
             return self._careful(text)
-        lines = text.split("\n")
-        if len(lines) == 1:
-            return np.frombuffer(self._line(text), dtype="<u4")
         firsts, rests, ends = [], [], []
-        for line in lines:
+        for line in text.split("\n"):
             first, *rest = line.split(" ")
             firsts.append(first)
             rests += rest
@@ -75,9 +94,9 @@ class ByteBPE:
         return np.frombuffer(b"".join(out), dtype="<u4")
 
     def _careful(self, text: str) -> np.ndarray:
-        """Cuts only before a space with other characters than white space on both sides; special strings aren't cut."""
+        """Cut only before a space with other characters than white space on both sides; strings of special tokens aren't cut."""
         if "<|" in text:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.frombuffer(self._whole(text), dtype="<u4")
         pieces = re.split(r"(?<=\S) (?=\S)", text)
         return np.frombuffer(b"".join([*self._all(self.plain, pieces[:1], ""), *self._all(self.spaced, pieces[1:], " ")]), dtype="<u4")
 
