@@ -1,15 +1,15 @@
 """Packing documents into sequences of 1024 tokens by cutting-stock column generation.
 
 1. A document's ids are cut into whole sequences and a rest; a rest above half a sequence is cut once more,
-   as two such rests never share a sequence. So there are few hundred piece lengths whatever the size of
-   the input, and the driver sees only how many pieces of each length (and salt) there are.
-2. A linear program over the patterns, each the lengths that share one sequence, covers those counts with
-   the fewest sequences. Columns come from an unbounded knapsack over the dual prices by dynamic
-   programming; the basis is kept as an inverse.
-3. Solutions are rounded down, then up while counts last. What no rounded pattern takes, less than a
-   sequence a pattern, is laid end to end and cut at the sequences' ends.
-4. Each piece is ranked within its length (salted, so that a common length is dealt to many tasks), and
-   rank ranges of the patterns give its sequence and offset.
+   as two such rests never share a sequence. Lengths are counted in classes of UNIT, rounded up, so there
+   are few classes whatever the size of the input, and the driver sees only the pieces' number by class and salt.
+2. A linear program over patterns, each the classes that share one sequence, covers those counts with the
+   fewest sequences. Columns come from an unbounded knapsack over the dual prices by dynamic programming;
+   the basis is kept as an inverse.
+3. Solutions are rounded down, then up while counts last. What no rounded pattern takes, less than one
+   sequence a class, is packed by first fit in decreasing order, into patterns that are used once.
+4. Each piece is ranked within its class (salted, so that a common length is dealt to many tasks), and
+   rank ranges of the patterns give its sequence and slot; offsets are running sums within a sequence.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ END_ID = 0
 SALTS = 256
 #: The longest piece beside whole sequences.
 PART = ROOM // 2
-#: Column generation stops at this gap to the lower bound, or after so many pivots.
-GAP = 0.0005
-PIVOTS = 4000
-#: Columns that enter for each solution of the knapsack, at most.
-COLUMNS = 40
+#: Tokens of a class of lengths.
+UNIT = 4
+#: Column generation stops at this gap to the lower bound, or after so many columns.
+GAP = 0.001
+PIVOTS = 6000
+#: Columns that are tried for each solution of the knapsack.
+COLUMNS = 4
 
 
 def best_patterns(price: np.ndarray, room: int, most: int) -> list[np.ndarray]:
@@ -69,8 +71,8 @@ def best_patterns(price: np.ndarray, room: int, most: int) -> list[np.ndarray]:
     return found
 
 
-def solve(demand: np.ndarray, room: int = ROOM) -> list[tuple[np.ndarray, float]]:
-    """Patterns (copies by length) and how often, from the linear program. demand[l]: pieces of length l, 1 <= l <= room."""
+def solve(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
+    """Patterns (copies by length) and how often, from the linear program. demand[l]: pieces of class l, 1 <= l <= room."""
     lens = np.flatnonzero(demand[: room + 1])
     lens = lens[lens > 0]
     if not len(lens):
@@ -111,71 +113,67 @@ def solve(demand: np.ndarray, room: int = ROOM) -> list[tuple[np.ndarray, float]
 
 @dataclass
 class Plan:
-    """Where the pieces of each length go, by rank: arrays of segments, and where the rest begins."""
+    """Where the pieces of each class go, by rank: arrays of segments."""
 
-    first: list[np.ndarray]  # by length: first rank of each segment
+    first: list[np.ndarray]  # by class: first rank of each segment
     copies: list[np.ndarray]
     sequence: list[np.ndarray]
-    place: list[np.ndarray]
-    taken: np.ndarray  # by length: ranks below this have a pattern
-    rest_at: np.ndarray  # by length: place of its first remaining piece in the rest
-    rest_sequence: int
-    before: np.ndarray  # (length, salt): pieces of the length in smaller salts
+    slot: list[np.ndarray]
+    before: np.ndarray  # (class, salt): pieces of the class in smaller salts
 
 
-def make_plan(counts: np.ndarray, room: int = ROOM) -> Plan:
-    """counts: pieces by (length, salt). Deterministic; empty counts give an empty plan."""
-    demand = counts.sum(axis=1).astype(np.int64)
-    left = demand.copy()
+def make_plan(counts: np.ndarray, room: int) -> Plan:
+    """counts: pieces by (class, salt). Deterministic; no pieces give an empty plan."""
+    left = counts.sum(axis=1).astype(np.int64)
     chosen: list[tuple[np.ndarray, int]] = []
     if left[room]:
         whole = np.zeros(room + 1, dtype=np.int64)
         whole[room] = 1
         chosen.append((whole, int(left[room])))
         left[room] = 0
-    solved = solve(left, room)
     parts = []
-    for a, v in solved:
-        n = int(np.floor(v + 1e-9))
-        n = min([n, *(left[a > 0] // a[a > 0])])
+    for a, v in solve(left.copy(), room):
+        n = min([int(np.floor(v + 1e-9)), *(left[a > 0] // a[a > 0])])
         left -= n * a
         parts.append([a, int(n), v - n])
     for part in sorted(parts, key=lambda p: -p[2]):  # rounded up while counts last, the fullest need first
         a = part[0]
-        if part[2] > 1e-6 and (left[a > 0] >= a[a > 0]).all():
+        if part[2] > 0.5 and (left[a > 0] >= a[a > 0]).all():
             left -= a
             part[1] += 1
     chosen += [(a, n) for a, n, _ in parts if n]
+    while left.any():  # bounded by the number of classes, not by the input
+        a, free = np.zeros(room + 1, dtype=np.int64), room
+        while len(fit := np.flatnonzero(left[: free + 1] - a[: free + 1])):
+            l = int(fit[-1])
+            n = min(free // l, int(left[l] - a[l]))
+            a[l] += n
+            free -= n * l
+        left -= a
+        chosen.append((a, 1))
     segs: list[list[tuple[int, int, int, int]]] = [[] for _ in range(room + 1)]
     taken, sequence = np.zeros(room + 1, dtype=np.int64), 0
     for a, n in chosen:
-        place = 0
+        slot = 0
         for l in np.flatnonzero(a)[::-1]:
-            segs[l].append((int(taken[l]), int(a[l]), sequence, place))
+            segs[l].append((int(taken[l]), int(a[l]), sequence, slot))
             taken[l] += n * a[l]
-            place += int(l * a[l])
+            slot += int(a[l])
         sequence += n
     column = lambda k: [np.array([s[k] for s in x], dtype=np.int64) for x in segs]
-    sizes = (demand - taken) * np.arange(room + 1)
-    return Plan(column(0), column(1), column(2), column(3), taken, np.cumsum(sizes) - sizes, sequence, np.cumsum(counts, axis=1) - counts)
+    return Plan(column(0), column(1), column(2), column(3), np.cumsum(counts, axis=1) - counts)
 
 
-def place(plan: Plan, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of pieces by length and rank; offset + length may pass ROOM for pieces of the rest, which are cut there."""
-    sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-    for l in np.unique(length):
-        own = np.flatnonzero(length == l)
-        r = rank[own]
-        rest = r >= plan.taken[l]
-        pos = plan.rest_at[l] + (r - plan.taken[l]) * l
-        seq, off = plan.rest_sequence + pos // ROOM, pos % ROOM
-        if len(plan.first[l]):
-            k = np.maximum(np.searchsorted(plan.first[l], r, side="right") - 1, 0)
-            inside = r - plan.first[l][k]
-            seq = np.where(rest, seq, plan.sequence[l][k] + inside // plan.copies[l][k])
-            off = np.where(rest, off, plan.place[l][k] + inside % plan.copies[l][k] * l)
-        sequence[own], offset[own] = seq, off
-    return sequence, offset
+def place(plan: Plan, kind: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, slot) of pieces by class and rank within it."""
+    sequence, slot = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
+    for l in np.unique(kind):
+        own = np.flatnonzero(kind == l)
+        k = np.searchsorted(plan.first[l], rank[own], side="right") - 1
+        inside = rank[own] - plan.first[l][k]
+        sequence[own] = plan.sequence[l][k] + inside // plan.copies[l][k]
+        slot[own] = plan.slot[l][k] + inside % plan.copies[l][k]
+    return sequence, slot
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
@@ -216,52 +214,24 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
     rows are documents like any other. Sequences are gapless from offset 0. Empty input gives no rows.
     """
     spark = docs.sparkSession
+    kind = F.ceil(F.col("length") / UNIT).cast("int")
     salt = F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS)).cast("int")
-    rows = cut(pieces(docs, vocabulary).withColumn("salt", salt))
-    counts = np.zeros((ROOM + 1, SALTS), dtype=np.int64)
-    for r in rows.groupBy("length", "salt").count().collect():  # ROOM * SALTS rows at most
-        counts[r["length"], r["salt"]] = r["count"]
-    plan = spark.sparkContext.broadcast(make_plan(counts))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "text_hash", "start")).cast("long") - 1)
+    rows = cut(pieces(docs, vocabulary).withColumns({"kind": kind, "salt": salt}))
+    room = ROOM // UNIT
+    counts = np.zeros((room + 1, SALTS), dtype=np.int64)
+    for r in rows.groupBy("kind", "salt").count().collect():  # room * SALTS rows at most
+        counts[r["kind"], r["salt"]] = r["count"]
+    plan = spark.sparkContext.broadcast(make_plan(counts, room))  # at most room patterns of few classes each, and those used once
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("doc_id", "text_hash", "start")).cast("long") - 1)
+    carry = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for b in batches:
-            t = pa.Table.from_batches([b])
-            length, start = t.column("length").to_numpy(), t.column("start").to_numpy()
-            sequence, offset = place(p, length, p.before[length, t.column("salt").to_numpy()] + t.column("rank").to_numpy())
-            over = np.flatnonzero(offset + length > ROOM)
-            at = np.concatenate([np.arange(len(length)), over])
-            tail = np.arange(len(at)) >= len(length)
-            head_len = np.minimum(length, ROOM - offset)
-            crc = pa.array(t.column("ids_crc32").to_numpy()[at], mask=(offset + length > ROOM)[at])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(t.column(c).combine_chunks().take(pa.array(at)) for c in ("doc_id", "text_hash", "doc_tokens")),
-                    pa.array(np.where(tail, (start + head_len)[at], start[at])), pa.array(np.where(tail, (length - head_len)[at], head_len[at])), crc,
-                    pa.array(np.where(tail, sequence[at] + 1, sequence[at])), pa.array(np.where(tail, 0, offset[at])),
-                ],
-                names=["doc_id", "text_hash", "doc_tokens", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
+            k = b.column("kind").to_numpy()
+            sequence, slot = place(p, k, p.before[k, b.column("salt").to_numpy()] + b.column("rank").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(sequence), pa.array(slot)], names=[*carry, "sequence_id", "slot"])
 
-    schema = "doc_id long, text_hash long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    placed = ranked.mapInArrow(run, schema)
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    # Less than a sequence a pattern is left over, so at most two pieces for each of ROOM patterns are cut anew.
-    anew = cut(placed.where("ids_crc32 IS NULL"))
-
-    def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe(vocabulary)
-        for b in batches:
-            found = []
-            for r in b.to_pylist():
-                ids = np.append(encoder.encode(r["text"]), np.uint32(END_ID)).astype("<u4")
-                found.append(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out if c != "ids_crc32"), pa.array(found, pa.int64())], names=[*(c for c in out if c != "ids_crc32"), "ids_crc32"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_hash", F.xxhash64("text"))
-    texts = texts.join(F.broadcast(anew.select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2")).distinct()), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_hash") == F.col("_hash2")), "left_semi")
-    texts = texts.dropDuplicates(["_id", "_hash"])
-    found = anew.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", *(c for c in out if c != "ids_crc32"))
-    found = found.mapInArrow(crcs, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
-    return placed.where("ids_crc32 IS NOT NULL").select(*out).unionByName(found.select(*out))
+    placed = ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select(*carry, "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))

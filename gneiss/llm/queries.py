@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import quality, simhash, toxicity
+from gneiss.llm import packing, quality, simhash, tokenfile, toxicity
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +33,16 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality.passes()).alias("kept"))
 
 
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity_cnn, op4_quality_ledger)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity_cnn, op4_quality_ledger, op5_token_file, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
