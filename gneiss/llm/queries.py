@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StringType, StructField
 
-from gneiss.llm import packing, quality, simhash, tokenfile, toxicity
+from gneiss.llm import langid, packing, quality, simhash, spans, tokenfile, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +32,22 @@ def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "threshold", "flagged")
 
 
+def _span_digest(encoder: spans.SpanEncoder, texts: list[str | None]) -> list[pa.Array]:
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    found = [encoder.encode(t) for t in texts]
+    return [
+        pa.array([len(e.ids) for e in found], pa.int64()),
+        pa.array([sha(",".join(map(str, e.ids.tolist()))) for e in found]),
+        pa.array([sha(encoder.decode(e.ids)) for e in found]),
+        pa.array([int(np.sum(e.end - e.begin)) for e in found], pa.int64()),
+    ]
+
+
+def op3_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), StructField("covered_bytes", LongType())]
+    return spans.encoded_as(_table(spark, sf_dir, "documents"), PIECES, ("doc_id",), extra, _span_digest)
+
+
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     base = quality.passes("base")
@@ -37,12 +58,21 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(~langid.held_out()))
+    return langid.identified(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op9_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity_cnn, op4_quality_ledger, op5_token_file, op9_packing)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
