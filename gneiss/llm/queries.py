@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField
 
-from gneiss.llm import embedding_dedup, langid, packing, quality, simhash, spans, tokenfile, toxicity
+from gneiss.llm import arc, embedding_dedup, langid, packing, quality, simhash, spans, tokenfile, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +64,10 @@ def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.write_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -72,7 +76,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op9_packing, op10_embedding_near_dedup)
+ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_ledger": quality.query_sql()}
+    return {"op4_quality_ledger": quality.query_sql(), "op8_arc_to_warc": arc.QUERY_SQL}

@@ -14,7 +14,7 @@ def create(uri: str):
     """A new file, open for writing; its folder is made where needed."""
     system, path = at(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)  # as the name would otherwise decide
 
 
 def open_file(uri: str):
