@@ -128,8 +128,8 @@ def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass a policy, with the columns of ``docs``."""
-    cols = tuple(docs.columns)
-    return ledger(docs, text_col, cols).where(passes(policy)).select(*cols)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))  # so that no name can clash
+    return ledger(rows, "_whole", ("_row",)).where(passes(policy)).select("_row.*")
 
 
 #: The same in DuckDB, over the view ``documents``.

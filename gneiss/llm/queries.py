@@ -9,9 +9,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from gneiss.llm import arc, embedding_dedup, langid, packing, quality, simhash, spans, tokenfile, toxicity
+from gneiss.llm import arc, chat, embedding_dedup, langid, packing, quality, simhash, spans, tokenfile, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,6 +65,13 @@ def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.transcript_lines(_table(spark, sf_dir, "conversations"))
+    held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2  # the model learns from the others
+    model = chat.fit(lines.where(~held_out))
+    return chat.parse(lines, model, ("role",)).withColumn("held_out", held_out)
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.write_and_read(_table(spark, sf_dir, "pages"))
 
@@ -76,7 +84,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup)
+ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op7_chat_hmm, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -209,7 +209,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, known: DataFrame | None = None) -> DataFrame:
-    """id, fp (signed long) and component_id (smallest id reachable) for every row of ``docs``.
+    """id, fp (signed long), component_id (smallest id reachable) and group_fp (a fingerprint that names the group) for every row of ``docs``.
 
     Null, empty and white-space texts have fingerprint 0 and link like any other. Repeated rows stay
     repeated. A null id gets a component like the rest; components of null ids only have a null id.
@@ -220,8 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = connected_components(fingerprint_links(classes))
     linked = members.join(classes, members.node == classes.fp).select("fp", "root", "_first")
     named = linked.groupBy("root").agg(F.min("_first").alias("_low"))
-    low = classes.join(linked.join(named, "root").select("fp", "_low"), "fp", "left").select("fp", F.coalesce("_low", "_first").alias("component_id"))
-    return ids.join(low, "fp").select(id_col, "fp", "component_id")
+    low = classes.join(linked.join(named, "root").select("fp", "root", "_low"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group_fp"), F.coalesce("_low", "_first").alias("component_id"))
+    return ids.join(low, "fp").select(*ids.columns, "component_id", "group_fp")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, its smallest id (ties: by the text's hash), with the columns of ``docs``."""
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    found = near_duplicates(docs, id_col, text_col, known=cut(fingerprints(docs.select(F.col(id_col), F.col(text_col), text.alias("_hash")), id_col, text_col, ("_hash",))))
+    best = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("group_fp").agg(F.min(F.struct(F.col(id_col).alias("_id"), "_hash")).alias("b")).select("b._id", "b._hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), text.alias("_text_hash"))
+    kept = rows.join(best, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_key", "_text_hash"]).select("_row.*")
 
 
 def hex16(fp: str):

@@ -23,9 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gneiss.session import ship
 
 MARK = "▁"
-CACHE = 300_000
 BYTE_PIECE, UNKNOWN_PIECE = 6, 2
-RUNS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n+")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes, bytes]]:
@@ -122,11 +120,7 @@ class SpanEncoder:
         texts = [p[1].decode() for p in pieces]
         self.size = np.array([1 if k == BYTE_PIECE else 0 if k == UNKNOWN_PIECE else len(t.encode()) for k, t in zip(kinds, texts)], dtype=np.int32)
         self.unknown = {n for n, k in enumerate(kinds) if k == UNKNOWN_PIECE}
-        plain = [t for k, t in zip(kinds, texts) if k not in (BYTE_PIECE, UNKNOWN_PIECE, 3)]
-        #: Whether no piece crosses a place where the text may be cut.
-        self.separable = self.escape and not any("\n" in t or MARK in t.lstrip(MARK) for t in plain)
         self.simple = not self.map.units and self.prefix and not self.squeeze and self.escape
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text and, for each of its bytes and its end, the place in the original bytes."""
@@ -174,31 +168,19 @@ class SpanEncoder:
                 del out[-len(space) :], came[-len(space) :]
         return out.decode("utf-8", "replace"), np.array([*came, end], dtype=np.int64)
 
-    def _cut(self, runs: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids and pieces' sizes in bytes of runs of normalised text."""
-        out = []
-        for run, ids in zip(runs, self.cutter.encode(runs)):
-            if self.unknown.isdisjoint(ids):
-                sizes = self.size[ids].tobytes()
-            else:  # what an unknown piece covers is in the library's own result only
-                sizes = np.array([len(p.surface.encode()) for p in self.cutter.encode(run, return_type="proto").pieces], dtype="<i4").tobytes()
-            out.append((np.array(ids, dtype="<i4").tobytes(), sizes))
-        return out
-
     def encode(self, text: str | None) -> Encoding:
         normal, came = self.normalise(text or "")
-        runs = RUNS.findall(normal) if self.separable else [normal] if normal else []
-        got = list(map(self.cache.get, runs))
-        if None in got:
-            missing = list(dict.fromkeys(r for r, g in zip(runs, got) if g is None))
-            new = dict(zip(missing, self._cut(missing)))
-            got = [new[r] if g is None else g for r, g in zip(runs, got)]
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache.update((r, g) for r, g in new.items() if len(r) < 64)
-        ids = np.frombuffer(b"".join([g[0] for g in got]), dtype="<i4")
-        ends = np.cumsum(np.frombuffer(b"".join([g[1] for g in got]), dtype="<i4"), dtype=np.int64)
-        return Encoding(ids, came[np.concatenate([[0], ends[:-1]])] if len(ids) else came[:0], came[ends])
+        if not normal:
+            return Encoding(np.zeros(0, np.int32), came[:0], came[:0])
+        ids = self.cutter.encode(normal)
+        if self.unknown.isdisjoint(ids):
+            ids = np.array(ids, dtype=np.int32)
+            sizes = self.size[ids]
+        else:  # what an unknown piece covers is in the library's own result only
+            sizes = np.array([len(p.surface.encode()) for p in self.cutter.encode(normal, return_type="proto").pieces])
+            ids = np.array(ids, dtype=np.int32)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return Encoding(ids, came[ends - sizes], came[ends])
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist()) if len(ids) else ""
