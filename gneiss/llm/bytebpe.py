@@ -2,21 +2,22 @@
 
 A text is cut where one space follows and precedes something other than white space, and around single
 line ends. The pre-tokeniser cuts there too, so pieces can be encoded one by one, and most pieces come
-back: each Python worker keeps the ids of the pieces that it has met, up to CACHE of them. A new piece
-of plain Latin letters, digits and ASCII signs is cut as the pre-tokeniser would and goes to the
+back: each Python worker keeps the ids of the pieces that it has met lately. A new piece of plain Latin letters, digits and ASCII signs is cut as the pre-tokeniser would and goes to the
 library's model; any other new piece goes through the library's whole encoder.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 400_000
-#: White space next to white space or at an end, or of a rarer kind: such texts are cut with more care.
-ODD = re.compile(r"\s\s|^\s|\s\Z|[^\S\n ]|<\|")
+#: White space other than a space or a line end.
+OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Entries of a cache's younger half; when it is full, it becomes the older half, and that is dropped.
+HALF = 400_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN = re.compile(rf"[\x21-\x7e{LETTERS}]+")
 #: The pre-tokeniser's pattern, narrowed to what PLAIN lets through.
@@ -30,6 +31,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
+class Recent(dict):
+    """A dict with an older half."""
+
+    def __init__(self, half: int = HALF):
+        self.half, self.older = half, {}
+
+    def recall(self, key: str) -> bytes | None:
+        """An entry of the older half, which is young again from now on."""
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ByteBPE:
     """Whole texts to ids, without special tokens of the end; ``encode`` returns unsigned 32-bit ids."""
 
@@ -38,67 +60,48 @@ class ByteBPE:
         self.model = self.tok.model
         letters = byte_letters()
         self.written = {c: "".join(letters[b] for b in chr(c).encode()) for c in [*range(0x20, 0x7F), *range(0xC0, 0x180)]}
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        #: A piece that follows a space; or, if it begins with a line end, one that begins a line.
+        self.pieces = Recent()
+        self.parts = Recent()
         self.newline = self._whole("\n")
 
     def _whole(self, s: str) -> bytes:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _new(self, piece: str, lead: str) -> bytes:
-        if not PLAIN.fullmatch(piece):
-            return self._whole(lead + piece)
-        out = []
-        for part in PARTS.findall(lead + piece):
-            ids = self.parts.get(part)
+    def _new(self, s: str) -> bytes:
+        """Ids of a piece with the space before it, if any."""
+        if not PLAIN.fullmatch(s, 1 if s[:1] == " " else 0):
+            return self._whole(s)
+        out = b""
+        for part in PARTS.findall(s):
+            ids = self.parts.get(part) or self.parts.recall(part)
             if ids is None:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.written))])
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _all(self, cache: dict[str, bytes], pieces: list[str], lead: str) -> list[bytes]:
+                written = part.replace(" ", "\u0120") if part.isascii() else part.translate(self.written)
+                found = self.model.tokenize(written)
+                ids = self.parts.keep(part, struct.pack(f"<{len(found)}I", *[t.id for t in found]))
+            out += ids
+        return out
+
+    def _all(self, pieces: list[str]) -> list[bytes]:
+        cache = self.pieces
         got = list(map(cache.get, pieces))
-        if None in got:
-            if len(cache) >= CACHE:
-                cache.clear()
-            for k, g in enumerate(got):
-                if g is None:
-                    p = pieces[k]
-                    g = cache.get(p)
-                    got[k] = g if g is not None else cache.setdefault(p, self._new(p, lead) if p else self._whole(lead) if lead else b"")
+        k = 0
+        for _ in range(got.count(None)):
+            k = got.index(None, k)
+            p = pieces[k]
+            ids = cache.get(p) or cache.recall(p)
+            got[k] = cache.keep(p, self.newline + self._new(p[1:]) if p[:1] == "\n" else self._new(" " + p)) if ids is None else ids
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
-        if ODD.search(text):
-            return self._careful(text)
-        firsts, rests, ends = [], [], []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            firsts.append(first)
-            rests += rest
-            ends.append(len(rests))
-        a, b = self._all(self.plain, firsts, ""), self._all(self.spaced, rests, " ")
-        out, at = [], 0
-        for k, end in enumerate(ends):
-            if k:
-                out.append(self.newline)
-            out.append(a[k])
-            out += b[at:end]
-            at = end
-        return np.frombuffer(b"".join(out), dtype="<u4")
-
-    def _careful(self, text: str) -> np.ndarray:
-        """Cut only before a space with other characters than white space on both sides; strings of special tokens aren't cut."""
-        if "<|" in text:
+        if "<|" in text:  # strings of special tokens aren't cut
             return np.frombuffer(self._whole(text), dtype="<u4")
-        pieces = re.split(r"(?<=\S) (?=\S)", text)
-        return np.frombuffer(b"".join([*self._all(self.plain, pieces[:1], ""), *self._all(self.spaced, pieces[1:], " ")]), dtype="<u4")
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not first or "" in rest or "\n" in rest or any(c in text for c in OTHER_SPACES):
+            first, *rest = re.split(r"(?<=\S) (?=\S)", text)
+        return np.frombuffer(b"".join([self._new(first), *self._all(rest)]), dtype="<u4")
 
 
 _made: dict[str, ByteBPE] = {}
