@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gneiss.plans import base
+
+MODULES = ("text_queries",)
+
+
+def _all() -> None:
+    for m in MODULES:
+        importlib.import_module(f"gneiss.plans.{m}")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship: ranked retrieval."""
+    return queries()["memory_search"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, base.Query]:
+    _all()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _all()
+    return dict(base.ORACLE)
