@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.plans import base
 
-MODULES = ("text_queries", "search_queries")
+MODULES = ("text_queries", "search_queries", "conversation_queries", "metric_queries")
 
 
 def _all() -> None:
