@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.plans.base import load, query
@@ -13,7 +13,11 @@ DEFAULT_PRICE = (3.0, 15.0)
 PRICE_SQL = ", ".join(f"('{m}', {a}, {b})" for m, (a, b) in PRICES.items())
 USE_SQL = "(SELECT *, CAST(coalesce(json_extract_string(props, '$.k'), '0') AS BIGINT) AS k FROM events)"
 PRICED_SQL = f"(SELECT e.*, k / 1000000.0::DOUBLE * coalesce(p.i, {DEFAULT_PRICE[0]})::DOUBLE + 2 * k / 1000000.0::DOUBLE * coalesce(p.o, {DEFAULT_PRICE[1]})::DOUBLE AS cost FROM {USE_SQL} e LEFT JOIN (VALUES {PRICE_SQL}) p(model, i, o) ON e.event_type = p.model)"
-BAD = F.col("event_type") == "error"
+
+
+def bad() -> Column:
+    return F.col("event_type") == "error"
+
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT coalesce(event_type, 'total') AS model, CAST(count(*) AS BIGINT) AS calls, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(sum(cost), 6) AS cost_usd, round(avg(value), 4) AS avg_ms FROM {PRICED_SQL} GROUP BY ROLLUP (event_type)")
 def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By model and in all."""
-    return priced(usage(spark, sf_dir)).rollup("event_type").agg(F.count("*").alias("calls"), F.sum(BAD.cast("long")).alias("errors"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.round(F.avg("value"), 4).alias("avg_ms")).select(F.coalesce("event_type", F.lit("total")).alias("model"), "calls", "errors", "cost_usd", "avg_ms")
+    return priced(usage(spark, sf_dir)).rollup("event_type").agg(F.count("*").alias("calls"), F.sum(bad().cast("long")).alias("errors"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.round(F.avg("value"), 4).alias("avg_ms")).select(F.coalesce("event_type", F.lit("total")).alias("model"), "calls", "errors", "cost_usd", "avg_ms")
 
 
 @query(f"SELECT round(sum(cost), 6) AS cost_usd, round(sum(cost) / greatest(1, date_diff('second', min(ts), max(ts)) / 60.0::DOUBLE), 8) AS cost_per_minute FROM {PRICED_SQL}")
@@ -49,7 +53,7 @@ def cost_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id AS tool, CAST(count(*) AS BIGINT) AS executions, CAST(sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) AS BIGINT) AS successes, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS success_rate, round(avg(value), 4) AS avg_duration FROM events GROUP BY user_id""")
 def tool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4."""
-    ok = (~BAD).cast("long")
+    ok = (~bad()).cast("long")
     return load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("tool")).agg(F.count("*").alias("executions"), F.sum(ok).alias("successes"), F.round(F.avg(ok), 6).alias("success_rate"), F.round(F.avg("value"), 4).alias("avg_duration"))
 
 
@@ -63,7 +67,7 @@ def tool_error_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT turn_id, tools, success_rate, duration FROM (SELECT event_id // 20 AS turn_id, CAST(count(*) AS BIGINT) AS tools, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS success_rate, round(sum(value), 4) AS duration FROM events GROUP BY 1) ORDER BY turn_id DESC LIMIT 50""")
 def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50 turns of 20 calls."""
-    return load(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 20).alias("turn_id")).agg(F.count("*").alias("tools"), F.round(F.avg((~BAD).cast("long")), 6).alias("success_rate"), F.round(F.sum("value"), 4).alias("duration")).orderBy(F.desc("turn_id")).limit(50)
+    return load(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 20).alias("turn_id")).agg(F.count("*").alias("tools"), F.round(F.avg((~bad()).cast("long")), 6).alias("success_rate"), F.round(F.sum("value"), 4).alias("duration")).orderBy(F.desc("turn_id")).limit(50)
 
 
 @query("SELECT event_type AS hook, CAST(count(*) AS BIGINT) AS calls, round(sum(value), 4) AS total_ms FROM events GROUP BY event_type")
@@ -105,7 +109,7 @@ def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT user_id AS trace, avg(CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0 END) AS error_rate, sum(CASE WHEN value > 480 THEN 1 ELSE 0 END) AS slow FROM events GROUP BY user_id)""")
 def workflow_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slow agents, else many errors, else part success."""
-    t = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("trace")).agg(F.avg(BAD.cast("double")).alias("e"), F.sum((F.col("value") > 480).cast("long")).alias("slow"))
+    t = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("trace")).agg(F.avg(bad().cast("double")).alias("e"), F.sum((F.col("value") > 480).cast("long")).alias("slow"))
     action = F.when(F.col("slow") > 0, "add_specialist").when(F.col("e") > 0.3, "insert_validation").when((F.col("e") > 0) & (F.col("e") < 1), "reallocate_tasks").otherwise("none")
     return t.select("trace", action.alias("action"), F.round("e", 6).alias("error_rate"), "slow")
 
@@ -114,7 +118,7 @@ def workflow_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) AS tools FROM events GROUP BY user_id)""")
 def reflection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G24, C13."""
-    t = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(BAD.cast("long")).alias("e"), F.count("*").alias("n"))
+    t = load(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(bad().cast("long")).alias("e"), F.count("*").alias("n"))
     c = F.when(F.col("e") == 0, 0.8).otherwise(0.4) - F.least(F.col("e") * 0.1, F.lit(0.3)) + F.least(F.col("n") * 0.02, F.lit(0.1))
     return t.select("user_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6).alias("confidence"), (F.col("e") > 2).alias("many_errors"), (F.col("n") > 10).alias("many_tools"))
 
