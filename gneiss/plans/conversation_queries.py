@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,14 +142,14 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gneiss.plans.search_queries import AS_OF, SEARCH, entries
 
     found = memory_search(entries(spark, sf_dir), SEARCH, AS_OF)
-    w = Window.partitionBy("scope").orderBy(F.desc("total"), "id")
-    top = found.withColumn("n", F.row_number().over(w)).where("n <= 20").select("scope", "n", "id", F.left("content", F.lit(400)).alias("content"))
+    best = reduce(DataFrame.unionByName, [found.where(F.col("scope") == k).orderBy(F.desc("total"), "id").limit(20) for k in range(3)])
+    top = best.withColumn("n", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("total"), "id"))).select("scope", "n", "id", "content")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, text, kept, total = pdf.sort_values("n"), "", [], 0
         for r in pdf.itertuples():
             longer = text + f"- {r.content}\n"
-            if compaction.tokens(longer) > 600:
+            if compaction.tokens(longer) > 8000:
                 if not kept:
                     continue
                 break

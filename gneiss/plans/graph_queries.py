@@ -91,7 +91,7 @@ AGENT_ROWS = ", ".join(f"({i}, '{r}', ['" + "', '".join(c) + "'])" for i, r, c i
 def task_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first agent of the role with every capability."""
     agents = spark.createDataFrame(list(AGENTS), "id int, role string, caps array<string>")  # three rows
-    t = load(spark, sf_dir, "nation").join(F.broadcast(load(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("task"), F.col("r_name").alias("role"), F.split(F.expr(NEED), ",").alias("need"))
+    t = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("task"), F.col("r_name").alias("role"), F.split(F.expr(NEED), ",").alias("need"))
     return t.join(F.broadcast(agents), "role").where(F.size(F.array_except("need", "caps")) == 0).groupBy("task").agg(F.min("id").alias("agent"))
 
 
@@ -112,17 +112,17 @@ def delta_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("session", "pos").agg(F.min_by("msg", "delta").alias("msg"))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id AS agent FROM events WHERE user_id < 20), m AS (SELECT event_id, user_id AS sender FROM events WHERE user_id < 20 AND event_type = 'signup')
+@query("""WITH a AS (SELECT DISTINCT user_id AS agent FROM events), m AS (SELECT event_id, user_id AS sender FROM events WHERE event_type = 'signup')
 SELECT agent, CAST(count(*) AS BIGINT) AS received, CAST(max(event_id) AS BIGINT) AS last_message FROM a JOIN m ON a.agent <> m.sender GROUP BY agent""")
 def mailbox_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L3: a broadcast reaches all but its sender: totals less own ones, so messages and agents are never paired."""
-    e = load(spark, sf_dir, "events").where("user_id < 20")
-    m = e.where("event_type = 'signup'")
-    by = m.groupBy(F.col("user_id").alias("sender")).agg(F.count("*").alias("own"), F.max("event_id").alias("newest"))  # a row an agent
-    total = by.agg(F.sum("own").alias("all"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("newest", "sender")))), 1, 2).alias("top"))
-    rows = e.select(F.col("user_id").alias("agent")).distinct().join(by, F.col("agent") == F.col("sender"), "left").crossJoin(F.broadcast(total))
-    newest = F.filter("top", lambda x: x["sender"] != F.col("agent"))[0]["newest"]
-    return rows.select("agent", (F.col("all") - F.coalesce("own", F.lit(0))).alias("received"), newest.alias("last_message")).where("received > 0")
+    e = load(spark, sf_dir, "events")
+    by = e.groupBy(F.col("user_id").alias("agent")).agg(F.count(F.when(F.col("event_type") == "signup", 1)).alias("own"), F.max(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("newest"))  # a row an agent
+    total = F.broadcast(by.agg(F.sum("own").alias("all"), F.max(F.struct("newest", "agent")).alias("top")))  # one row
+    second = F.broadcast(by.crossJoin(total).where("agent <> top.agent").agg(F.max("newest").alias("second")))  # one row
+    rows = by.crossJoin(total).crossJoin(second)
+    newest = F.when(F.col("agent") == F.col("top.agent"), F.col("second")).otherwise(F.col("top.newest"))
+    return rows.select("agent", (F.col("all") - F.col("own")).alias("received"), newest.alias("last_message")).where("received > 0")
 
 
 @query("SELECT event_id, user_id FROM events WHERE value IS NULL OR event_id * 10 + value >= 90000")

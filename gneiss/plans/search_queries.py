@@ -44,11 +44,11 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("""SELECT item_id, array_to_string(list_distinct_keep(t), ' ') AS expanded FROM (SELECT 1)""".replace("list_distinct_keep(t)", "t").replace("(SELECT 1)", """(SELECT item_id, list_concat(t, flatten(list_transform(t, lambda x: CASE x WHEN 'the' THEN ['this'] WHEN 'test' THEN ['testing', 'pytest', 'unittest'] WHEN 'config' THEN ['configuration', 'settings'] WHEN 'auth' THEN ['authentication', 'login'] WHEN 'db' THEN ['database', 'sql'] WHEN 'api' THEN ['interface', 'endpoint'] ELSE [] END))) AS t FROM (SELECT item_id, """ + TOK_SQL.format("text") + """[1:8] AS t FROM benchmark))"""))
+@query("""SELECT item_id, array_to_string(t, ' ') AS expanded FROM (SELECT item_id, list_concat(t, flatten(list_transform(t, lambda x: CASE x WHEN 'the' THEN ['this'] WHEN 'test' THEN ['testing', 'pytest', 'unittest'] WHEN 'config' THEN ['configuration', 'settings'] WHEN 'auth' THEN ['authentication', 'login'] WHEN 'db' THEN ['database', 'sql'] WHEN 'api' THEN ['interface', 'endpoint'] ELSE [] END))) AS t FROM (SELECT item_id, """ + TOK_SQL.format("text") + """ AS t FROM benchmark))""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: eight terms of each query and what the table adds to them."""
+    """R2: the terms of each query and what the table adds to them."""
     table = F.create_map(*[x for k, v in S.EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    t = F.slice(T.tokens(F.col("text")), 1, 8)
+    t = T.tokens(F.col("text"))
     more = F.flatten(F.transform("t", lambda x: F.coalesce(F.try_element_at(table, x), F.array().cast("array<string>"))))
     return load(spark, sf_dir, "benchmark").select("item_id", t.alias("t")).select("item_id", F.array_join(F.concat("t", more), " ").alias("expanded"))
 

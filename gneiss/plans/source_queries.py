@@ -85,16 +85,16 @@ def slash_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").where(F.startswith(n, F.lit("NATION_1")) | F.startswith(n, F.lit("A"))).select(n.alias("command"))
 
 
-@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'project' WHEN item_id % 3 = 1 THEN 'user' END AS scope, CASE WHEN item_id % 3 < 2 THEN left(text, 10) END AS content FROM benchmark""")
+@query("""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'project' WHEN item_id % 3 = 1 THEN 'user' END AS scope, CASE WHEN item_id % 3 < 2 THEN text END AS content FROM benchmark""")
 def memory_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: ``# x`` and ``/memory add scope: x``."""
-    x = F.left("text", F.lit(10))
+    x = F.col("text")
     k = F.col("item_id") % 3
     line = F.when(k == 0, F.concat(F.lit("# "), x)).when(k == 1, F.concat(F.lit("/memory add user: "), x)).otherwise(x)
     rows = load(spark, sf_dir, "benchmark").select("item_id", line.alias("line"))
     is_note, add = F.startswith("line", F.lit("# ")), r"^/memory add (user|project|local): "
     scope = F.when(is_note, "project").when(F.col("line").rlike(add), F.regexp_extract("line", add, 1))
-    content = F.when(is_note, F.substring("line", 3, 1000)).when(F.col("line").rlike(add), F.regexp_replace("line", add, ""))
+    content = F.when(is_note, F.substring("line", 3, 1 << 30)).when(F.col("line").rlike(add), F.regexp_replace("line", add, ""))
     return rows.select("item_id", scope.alias("scope"), content.alias("content"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -138,10 +140,10 @@ def json_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", v.isNotNull().alias("valid"), F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.k", "variant")) == "BIGINT", F.lit(False)).alias("k_is_number"))
 
 
-@query("SELECT doc_id, base64(encode(left(text, 200))) AS encoded, decode(from_base64(base64(encode(left(text, 200))))) AS decoded FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS encoded, decode(from_base64(base64(encode(text)))) AS decoded FROM documents")
 def base64_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7; the encoded text has no line ends."""
-    e = F.regexp_replace(F.base64(F.encode(F.left("text", F.lit(200)), "UTF-8")), "\r\n", "")
+    e = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
     return load(spark, sf_dir, "documents").select("doc_id", e.alias("encoded"), F.decode(F.unbase64(e), "UTF-8").alias("decoded"))
 
 
@@ -294,22 +296,25 @@ def list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT item_id, CASE WHEN starts_with(t, '/grep ') THEN 'grep' WHEN starts_with(t, '/read ') THEN 'read' ELSE 'none' END AS tool, trim(split_part(substring(t, 7), '::', 1)) AS pattern, trim(split_part(substring(t, 7), '::', 2)) AS path FROM
-(SELECT item_id, CASE item_id % 3 WHEN 0 THEN '/grep ' WHEN 1 THEN '/read ' ELSE 'hello ' END || left(text, 12) || ' :: ' || item_id AS t FROM benchmark)""")
+(SELECT item_id, CASE item_id % 3 WHEN 0 THEN '/grep ' WHEN 1 THEN '/read ' ELSE 'hello ' END || text || ' :: ' || item_id AS t FROM benchmark)""")
 def shortcut_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F26."""
-    t = F.concat(F.when(F.col("item_id") % 3 == 0, "/grep ").when(F.col("item_id") % 3 == 1, "/read ").otherwise("hello "), F.left("text", F.lit(12)), F.lit(" :: "), F.col("item_id").cast("string"))
+    t = F.concat(F.when(F.col("item_id") % 3 == 0, "/grep ").when(F.col("item_id") % 3 == 1, "/read ").otherwise("hello "), "text", F.lit(" :: "), F.col("item_id").cast("string"))
     arg = F.substring("t", 7, 1 << 30)
     rows = load(spark, sf_dir, "benchmark").select("item_id", t.alias("t"))
     tool = F.when(F.startswith("t", F.lit("/grep ")), "grep").when(F.startswith("t", F.lit("/read ")), "read").otherwise("none")
     return rows.select("item_id", tool.alias("tool"), F.trim(F.split_part(arg, F.lit("::"), F.lit(1))).alias("pattern"), F.trim(F.split_part(arg, F.lit("::"), F.lit(2))).alias("path"))
 
 
-@query(f"""SELECT scope, category, CAST(count(*) AS BIGINT) AS n, string_agg('- ' || left(replace(text, chr(10), ' '), 40) || ' `' || source || '`', chr(10) ORDER BY doc_id) AS body FROM (SELECT *, doc_id % 3 AS scope, lang AS category FROM documents) GROUP BY scope, category""")
+@query("""SELECT scope, category, CAST(count(*) AS BIGINT) AS n, string_agg('- ' || replace(text, chr(10), ' ') || ' `' || source || '`', chr(10) ORDER BY doc_id) AS body FROM
+(SELECT *, doc_id % 3 AS scope, lang AS category, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id DESC) AS k FROM documents) WHERE k <= 200 GROUP BY scope, category""")
 def memory_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of a scope as Markdown by category, in order."""
-    item = F.concat(F.lit("- "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)), F.lit(" `"), "source", F.lit("`"))
-    rows = load(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("scope"), F.col("lang").alias("category"), F.struct("doc_id", item.alias("item")).alias("e"))
-    return rows.groupBy("scope", "category").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"]), "\n").alias("body"))
+    """A scope's newest 200 entries, which is all that it keeps, as Markdown by category, in order."""
+    item = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" `"), "source", F.lit("`"))
+    rows = load(spark, sf_dir, "documents").withColumn("scope", F.col("doc_id") % 3)
+    newest = reduce(DataFrame.unionByName, [rows.where(F.col("scope") == k).orderBy(F.desc("doc_id")).limit(200) for k in range(3)])
+    e = newest.select("scope", F.col("lang").alias("category"), F.struct("doc_id", item.alias("item")).alias("e"))
+    return e.groupBy("scope", "category").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["item"]), "\n").alias("body"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, line_no, line, CASE WHEN regexp_matches(line, '^[A-ZÀ-Ý][^ ]*[.,]') THEN line END AS header FROM {LINES_SQL})
