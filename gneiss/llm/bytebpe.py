@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 #: White space other than a space or a line end.
 OTHER_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a cache's younger half; when it is full, it becomes the older half, and that is dropped.
-HALF = 400_000
+HALF = 300_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN = re.compile(rf"[\x21-\x7e{LETTERS}]+")
 #: The pre-tokeniser's pattern, narrowed to what PLAIN lets through.
@@ -62,7 +62,7 @@ class ByteBPE:
         self.written = {c: "".join(letters[b] for b in chr(c).encode()) for c in [*range(0x20, 0x7F), *range(0xC0, 0x180)]}
         #: A piece that follows a space; or, if it begins with a line end, one that begins a line.
         self.pieces = Recent()
-        self.parts = Recent()
+        self.parts = Recent(HALF * 2 // 3)
         self.newline = self._whole("\n")
 
     def _whole(self, s: str) -> bytes:
