@@ -156,3 +156,21 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: a report's lines, over an aggregate of few rows."""
     rows = load(spark, sf_dir, "events").groupBy("event_type").count()
     return rows.agg(F.concat(F.lit("cost report\n"), F.array_join(F.array_sort(F.collect_list(F.concat("event_type", F.lit(": "), F.col("count").cast("string")))), "\n")).alias("report"))
+
+
+@query("""SELECT user_id AS agent, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS turns, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS tool_calls FROM events GROUP BY user_id""")
+def subagent_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and tool calls of each agent."""
+    count = lambda kind: F.sum((F.col("event_type") == kind).cast("long"))
+    return load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("agent")).agg(count("view").alias("turns"), count("click").alias("tool_calls"))
+
+
+@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS updates, CAST(count(DISTINCT event_type) AS BIGINT) AS listeners, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM
+(SELECT user_id, event_type, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS new FROM events) GROUP BY user_id""")
+def state_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of a store, and those that change its state."""
+    from pyspark.sql import Window
+
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = load(spark, sf_dir, "events").select("user_id", "event_type", (~F.col("event_type").eqNullSafe(before)).alias("new"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("updates"), F.countDistinct("event_type").alias("listeners"), F.sum(F.col("new").cast("long")).alias("changes"))

@@ -158,3 +158,28 @@ def tags_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes in characters."""
     return entries(spark, sf_dir).groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("size"), F.countDistinct("category").alias("categories"))
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, CAST(len(list_distinct(t)) AS BIGINT) AS different, coalesce(t[1], '') AS first FROM (SELECT doc_id, list_concat({DOC_TOKENS}, regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]{{2}}')) AS t FROM documents)")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of each text: Latin runs and single CJK characters, then CJK pairs."""
+    t = T.tokens(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("different"), F.coalesce(F.get(t, 0), F.lit("")).alias("first"))
+
+
+@query(MEMORY_SQL + """, s AS (SELECT r.doc_id, r.scope, sum(2.5::DOUBLE * (c.n::DOUBLE / c.dl) / (c.n::DOUBLE / c.dl + 1.5)) AS alone FROM r JOIN c ON c.id = r.doc_id WHERE c.term IN ('the', 'and') GROUP BY ALL)
+SELECT doc_id, round(alone / (SELECT max(alone) FROM s), 5) AS relevance FROM s WHERE round(alone / (SELECT max(alone) FROM s), 5) >= 0.5""")
+def min_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found entries whose score by themselves is at least half the best; alone, each term has weight 1 and an average length."""
+    found = S.memory_search(entries(spark, sf_dir), SEARCH, AS_OF).select("id", "content", "category", "tags")
+    posts = S.postings(found, "id", F.concat_ws(" ", "content", "category", F.array_join("tags", " ")), ("the", "and"))
+    tf = F.col("n") / F.col("dl")
+    alone = posts.groupBy("id").agg(F.sum((S.K1 + 1) * tf / (tf + S.K1)).alias("alone"))
+    best = F.broadcast(alone.agg(F.max("alone").alias("best")))  # one row
+    return alone.crossJoin(best).select(F.col("id").alias("doc_id"), F.round(F.col("alone") / F.col("best"), 5).alias("relevance")).where("relevance >= 0.5")
+
+
+@query()
+def greedy_dup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal entries merged greedily in order of id."""
+    return S.greedy_merge(S.jaccard_pairs(load(spark, sf_dir, "documents"), "doc_id", F.col("text")))

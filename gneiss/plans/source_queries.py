@@ -129,3 +129,18 @@ def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """random identifiers and strings; what is fixed about them."""
     rows = load(spark, sf_dir, "nation").select(F.uuid().alias("u"), F.randstr(F.lit(16), F.lit(1)).alias("s"))
     return rows.agg(F.count("*").alias("n"), F.countDistinct("u").alias("different"), F.bool_and((F.length("u") == 36) & (F.length("s") == 16)).alias("right_length"))
+
+
+@query("""SELECT page_id, url FROM (SELECT page_id, url, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE NOT regexp_matches(path, '(^|/)(\\.git|node_modules|__pycache__|de)(/|$)') AND NOT regexp_matches(path, '(^|/)\\.') AND NOT regexp_matches(path, '\\.(png|jpg|zip|exe)$')""")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths without skipped folders, hidden names and binary endings."""
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    return load(spark, sf_dir, "pages").where(~path.rlike(r"(^|/)(\.git|node_modules|__pycache__|de)(/|$)") & ~path.rlike(r"(^|/)\.") & ~path.rlike(r"\.(png|jpg|zip|exe)$")).select("page_id", "url")
+
+
+@query("SELECT doc_id, CAST(n_chars AS BIGINT) AS chars FROM documents")
+def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts replaced and written through the committer, which makes files visible at once, and read again."""
+    path = shared_folder(spark, "texts")
+    load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("the"), F.lit("THE")).alias("text")).write.parquet(path)
+    return spark.read.parquet(path).select("doc_id", F.length("text").cast("long").alias("chars"))

@@ -74,3 +74,21 @@ def test_glob():
     import re
 
     assert re.match(T.glob_regex("*.py"), "a/b.py") and not re.match(T.glob_regex("?.py"), "ab.py")
+
+
+def test_greedy_merge_equals_the_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
+    merged, into = set(), {}
+    for k in sorted({x for p in pairs for x in p}):
+        if k not in merged:
+            into[k] = k
+            for a, b in sorted(pairs):
+                if a == k and b not in merged:
+                    merged.add(b)
+                    into[b] = k
+    df = spark.createDataFrame(sorted(pairs), "a long, b long")
+    assert {r.id: r["into"] for r in search.greedy_merge(df).collect()} == into
+    assert search.greedy_merge(df.limit(0)).count() == 0
