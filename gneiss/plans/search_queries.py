@@ -172,9 +172,10 @@ SELECT doc_id, round(alone / (SELECT max(alone) FROM s), 5) AS relevance FROM s
 def min_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Found entries whose score by themselves is at least half the best; alone, each term has weight 1 and an average length."""
     found = S.memory_search(entries(spark, sf_dir), SEARCH, AS_OF).select("id", "content", "category", "tags")
-    posts = S.postings(found, "id", F.concat_ws(" ", "content", "category", F.array_join("tags", " ")), ("the", "and"))
-    tf = F.col("n") / F.col("dl")
-    alone = posts.groupBy("id").agg(F.sum((S.K1 + 1) * tf / (tf + S.K1)).alias("alone"))
+    terms = ("the", "and")
+    rows = S.counted(found, F.concat_ws(" ", "content", "category", F.array_join("tags", " ")), terms)
+    tf = [F.col(f"_c{k}") / F.col("_dl") for k in range(len(terms))]
+    alone = rows.select("id", sum((S.K1 + 1) * x / (x + S.K1) for x in tf).alias("alone")).where("alone > 0")
     best = F.broadcast(alone.agg(F.max("alone").alias("best")))  # one row
     return alone.crossJoin(best).select(F.col("id").alias("doc_id"), F.round(F.col("alone") / F.col("best"), 5).alias("relevance")).where("relevance >= 0.5")
 
