@@ -60,7 +60,10 @@ class Space:
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Different trigrams (as numbers) of a whole text and how often each occurs."""
         points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
-        n = np.where(points < 0x10000, self.numbers[np.minimum(points, 0xFFFF)], 0)
+        n = self.numbers[np.minimum(points, 0xFFFF)]
+        far = points >= 0x10000  # of letters beyond the basic plane, few texts have any
+        if far.any():
+            n[far] = [60 + (int(p) * 2654435761 >> 7) % (LETTERS - 60) if chr(p).isalpha() else 0 for p in points[far]]
         n = np.concatenate([[0], n, [0]])
         keep = (n[1:] != 0) | (n[:-1] != 0)  # runs of other characters are one word end
         n = np.concatenate([n[:1], n[1:][keep]])

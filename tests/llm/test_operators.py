@@ -312,6 +312,7 @@ def test_language(spark, sf_dir):
     got = langid.identified(d, p, ("doc_id", "lang")).where(langid.held_out()).collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     assert p.predict(None) == p.predict("") == p.predict("123 !?") == (langid.UNKNOWN, 0.0)
+    assert p.predict("𐐀𐐁 𐐂")[0] in p.langs and p.predict("🚀 🚀") == (langid.UNKNOWN, 0.0)
     assert langid.fit(empty(d)).predict("text") == (langid.UNKNOWN, 0.0)
 
 
