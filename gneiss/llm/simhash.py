@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = connected_components(fingerprint_links(classes))
     linked = members.join(classes, members.node == classes.fp).select("fp", "root", "_first")
     named = linked.groupBy("root").agg(F.min("_first").alias("_low"))
-    low = classes.join(linked.join(named, "root").select("fp", "root", "_low"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group_fp"), F.coalesce("_low", "_first").alias("component_id"))
+    # Cut, so that both sides of the last join are plain shuffles: only then AQE splits the rows of a fingerprint that a third of all texts share.
+    low = cut(classes.join(linked.join(named, "root").select("fp", "root", "_low"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group_fp"), F.coalesce("_low", "_first").alias("component_id")))
     return ids.join(low, "fp").select(*ids.columns, "component_id", "group_fp")
 
 
