@@ -1,11 +1,12 @@
-"""Embedding near-duplicates by a pivot-permutation index.
-
-Equal vectors of a label are one class. Reference points are a bounded sample of the vectors. A class is
-described by the ordered list of its NEAREST reference points, and stands in the inverted list of each of
-them. Two classes of a label that share at least SHARED pivots are candidates; they are compared in the
-list of the smallest pivot they share, once, by cosine in double precision. Lists above CELL are dealt
-into pairs of chunks. A list returns each member's number of linked rows and a spanning forest of its
-links, never the links, so a hot label or a large group of near copies costs rows in proportion.
+"""Embedding near-duplicates: all pairs of a label, less what a pivot table rules out.
+
+Equal vectors of a label are one class. The classes of a label and length form a list, and lists above CELL
+are dealt into pairs of chunks, so every pair of classes meets in one cell. In a cell, reference points are
+its mutually farthest vectors; rows are ordered by their two nearest, and each block of rows has the range
+of its angles to every reference point. By the triangle inequality two blocks whose ranges lie further
+apart than the cosine allows hold no link; the others are multiplied in single precision, and pairs within
+its error of the threshold are decided in double. A cell returns each member's number of linked rows and a
+spanning forest of its links, never the links, so a large group of near copies costs rows in proportion.
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ from gneiss.llm.simhash import _unite, cells_of, dealt
 from gneiss.session import cut, ship
 
 COSINE = 0.98
-#: Pivots of a vector's list, and how many two lists must share.
-NEAREST = 6
-SHARED = 2
-#: Reference points: about one for so many classes, within these bounds (a sample by hash).
-CLASSES_A_PIVOT = 200
-LEAST, MOST = 64, 2048
-CELL = 2048
+#: Reference points of a cell, at most, and the cosine above which a vector is too near to one to be another.
+PIVOTS = 32
+SPREAD = 0.9
+#: Rows of a chunk of a large list, and of a block.
+CELL = 8192
 ROWS = 256
 
 
@@ -39,45 +38,54 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def pivot_lists(vectors: np.ndarray, pivots: np.ndarray, nearest: int = NEAREST) -> np.ndarray:
-    """(n, nearest) pivot numbers, nearest first, ties by number."""
-    near = unit(vectors) @ pivots.T
-    return np.argsort(-near, axis=1, kind="stable")[:, :nearest]
+def pivot_angles(v: np.ndarray) -> np.ndarray:
+    """(n, pivots) angles of unit vectors to reference points, each the farthest vector from those before it."""
+    near, found = np.full(len(v), -1.0), []
+    k = 0
+    while len(found) < PIVOTS and near[k] <= SPREAD:
+        found.append(v @ v[k])
+        near = np.maximum(near, found[-1])
+        k = int(near.argmin())
+    return np.arccos(np.clip(np.stack(found, axis=1), -1, 1))
 
 
-def reference_points(sample: dict[int, np.ndarray], dim: int, n: int) -> np.ndarray:
-    """The sample's unit vectors of this dimension, or, where it has too few, random directions by rule."""
-    own = sample.get(dim)
-    if own is not None and len(own) >= NEAREST:
-        return own
-    return unit(np.random.default_rng(dim).normal(size=(max(n, NEAREST), dim)))
-
-
-def link_cell(pivot: int, lists: np.ndarray, vectors: np.ndarray, weight: np.ndarray, chunk: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(rows linked to each member, root of each) over the pairs whose smallest shared pivot is this list's."""
+def link_cell(vectors: np.ndarray, weight: np.ndarray, chunk: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(rows linked to each member, root of each) over a cell's pairs; across: only over those of two chunks."""
     v = unit(vectors)
-    names = np.unique(lists)
-    bit = np.searchsorted(names, lists)
-    held = np.zeros((len(v), len(names)), dtype=np.float32)
-    held[np.arange(len(v))[:, None], bit] = 1
-    below = int(np.searchsorted(names, pivot))
+    short = v.astype(np.float32)
+    slack = (v.shape[1] + 8) * 2.0**-23  # above the error of a product in single precision
+    angle = pivot_angles(v) if len(v) > ROWS else np.zeros((len(v), 1))
+    nearest = np.argsort(angle, axis=1, kind="stable")[:, :2]
+    order = np.lexsort(nearest.T[::-1])
+    left = right = order
+    if across:
+        first = chunk[order] == chunk.min()
+        left, right = order[first], order[~first]
     linked, root = np.zeros(len(v), dtype=np.int64), np.arange(len(v))
-    for at in range(0, len(v), ROWS):
-        end = min(at + ROWS, len(v))
-        fit = held[at:end] @ held[at:].T >= SHARED  # shared-pivot counts
-        if below:
-            fit &= held[at:end, :below] @ held[at:, :below].T == 0
-        fit &= np.arange(at, end)[:, None] < np.arange(at, len(v))[None, :]
-        if across:
-            fit &= chunk[at:end, None] != chunk[None, at:]
-        if not fit.any():
-            continue
-        i, j = np.nonzero(fit & (v[at:end] @ v[at:].T >= COSINE - 1e-9))
-        ok = np.einsum("ij,ij->i", v[at + i], v[at + j]) >= COSINE
-        i, j = at + i[ok], at + j[ok]
+    if not len(right):
+        return linked, root
+    starts = np.arange(0, len(right), ROWS)
+    size = np.diff(np.append(starts, len(right)))
+    low, high = np.minimum.reduceat(angle[right], starts), np.maximum.reduceat(angle[right], starts)
+    for block, at in enumerate(range(0, len(left), ROWS)):
+        a = left[at : at + ROWS]
+        apart = np.maximum(low - angle[a].max(axis=0), angle[a].min(axis=0) - high).max(axis=1)
+        near = apart <= np.arccos(COSINE) + 1e-6
+        if not across:
+            near[:block] = False
+        b = right[np.repeat(near, size)]
+        cos = short[a] @ short[b].T
+        i, j = np.nonzero(cos >= COSINE - slack)
+        if not across:
+            i, j = i[j > i], j[j > i]  # b begins with a
+        ok = cos[i, j] >= COSINE + slack
+        close = np.flatnonzero(~ok)
+        ok[close] = np.einsum("ij,ij->i", v[a[i[close]]], v[b[j[close]]]) >= COSINE
+        i, j = a[i[ok]], b[j[ok]]
         linked += np.bincount(i, weights=weight[j], minlength=len(v)).astype(np.int64)
         linked += np.bincount(j, weights=weight[i], minlength=len(v)).astype(np.int64)
-        _unite(root, i, j)
+        new = root[i] != root[j]
+        _unite(root, i[new], j[new])
     while not np.array_equal(root[root], root):
         root = root[root]
     return linked, root
@@ -100,41 +108,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     key = ["_label", "_a", "_b"]
     classes = rows.where("_sound").groupBy(*key).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.any_value("_v").alias("_v"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    n = classes.count()
-    want = int(np.clip(n // CLASSES_A_PIVOT, LEAST, MOST))
-    sample: dict[int, list[np.ndarray]] = {}
-    for r in classes.select("_v").orderBy(F.xxhash64("_a", "_b", F.lit(9)), "node").limit(want).collect():  # MOST vectors at most
-        sample.setdefault(len(r._v), []).append(np.array(r._v))
-    sent = spark.sparkContext.broadcast({d: unit(np.stack(v)) for d, v in sample.items()})
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, size = b.column("node").to_numpy(), b.column("_n").to_numpy()
-            vs = [np.asarray(x, dtype=np.float64) for x in b.column("_v").to_pylist()]
-            lens = np.array([len(x) for x in vs])
-            for dim in np.unique(lens):
-                own = np.flatnonzero(lens == dim)
-                v = np.stack([vs[k] for k in own])
-                lists = pivot_lists(v, reference_points(sent.value, int(dim), want)).astype(np.int32)
-                k = np.repeat(np.arange(len(own)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("_label").take(pa.array(own[k])), pa.array(lists.reshape(-1)), pa.array(np.full(len(k), dim, np.int32)), pa.array(node[own[k]]), pa.array(size[own[k]]), pa.array([lists[x].tobytes() for x in k], pa.binary()), pa.array([v[x].tobytes() for x in k], pa.binary())],
-                    names=["_label", "pivot", "dim", "node", "n", "pivots", "vector"],
-                )
-
-    entries = classes.select("_label", "node", "_n", "_v").mapInArrow(listed, "_label string, pivot int, dim int, node long, n long, pivots binary, vector binary")
-    entries = entries.withColumn("list_key", F.xxhash64("_label", "pivot", "dim"))
-    cells = dealt(entries, "list_key", "node", CELL).select("list_key", "ci", "cj", "_label", "pivot", "dim", "chunk", "node", "n", "pivots", "vector")
+            vs = b.column("_v")
+            at, values = vs.offsets.to_numpy(), vs.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_label"), pa.array(np.diff(at).astype(np.int32)), b.column("node"), b.column("_n"), pa.array([values[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())],
+                names=["_label", "dim", "node", "n", "vector"],
+            )
+
+    entries = classes.select("_label", "node", "_n", "_v").mapInArrow(listed, "_label string, dim int, node long, n long, vector binary")
+    entries = entries.withColumn("list_key", F.xxhash64("_label", "dim"))
+    cells = dealt(entries, "list_key", "node", CELL).select("list_key", "ci", "cj", "_label", "dim", "chunk", "node", "n", "vector")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cells_of(batches, ["list_key", "ci", "cj"]):
-            kinds = t.group_by(["_label", "pivot", "dim"]).aggregate([])  # one, unless two lists' keys have the same hash
+            kinds = t.group_by(["_label", "dim"]).aggregate([])  # one, unless two lists' keys have the same hash
             for r in kinds.to_pylist():
-                own = t if kinds.num_rows == 1 else t.filter(pa.compute.field("_label") == r["_label"]).filter(pa.compute.field("pivot") == r["pivot"]).filter(pa.compute.field("dim") == r["dim"])
+                own = t if kinds.num_rows == 1 else t.filter(pa.compute.field("_label") == r["_label"]).filter(pa.compute.field("dim") == r["dim"])
                 node = own.column("node").to_numpy()
-                lists = np.frombuffer(b"".join(own.column("pivots").to_pylist()), np.int32).reshape(len(node), -1)
                 v = np.frombuffer(b"".join(own.column("vector").to_pylist()), np.float64).reshape(len(node), -1)
-                linked, root = link_cell(r["pivot"], lists, v, own.column("n").to_numpy(), own.column("chunk").to_numpy(), t.column("ci")[0].as_py() != t.column("cj")[0].as_py())
+                linked, root = link_cell(v, own.column("n").to_numpy(), own.column("chunk").to_numpy(), t.column("ci")[0].as_py() != t.column("cj")[0].as_py())
                 some = np.flatnonzero(linked)
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(linked[some])], names=["u", "v", "n"])

@@ -468,5 +468,22 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [8192, 700])
+def test_embeddings_in_a_large_group(spark, monkeypatch, cell):
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    rng = np.random.default_rng(6)
+    v = embedding_dedup.unit(rng.normal(size=(6000, 64)))
+    v[:2000] = embedding_dedup.unit(rng.normal(size=(1, 64))) + 0.135 * v[:2000]  # distinct near copies of one
+    v = v.astype(np.float32)[rng.permutation(6000)]
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    u = embedding_dedup.unit(v)
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    expected = {k: int(n) for k, n in enumerate(linked.sum(axis=1))}
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert {r.vec_id: r.n_links for r in got} == expected and linked.sum() > 3_000_000
+    assert {r.component_id for r in got if r.n_links} == {min(k for k, n in expected.items() if n)}
+
+
 def test_public_files_are_not_copied():
     assert public_tokenizers.path("byte_bpe_50k.json") == BPE and "gneiss" not in BPE
