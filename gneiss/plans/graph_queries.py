@@ -21,10 +21,16 @@ def dependencies(t: DataFrame) -> DataFrame:
 
 @query(f"WITH {TASK_SQL} SELECT id, priority FROM t WHERE NOT done AND NOT EXISTS (SELECT 1 FROM d JOIN t x ON x.id = d.dep WHERE d.id = t.id AND NOT x.done AND x.id <> t.id) ORDER BY priority, id LIMIT 100")
 def ready_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks whose dependencies are all complete, by priority; the first 100."""
+    """The first 100 rows of ``ready_frontier``."""
+    return ready_frontier(spark, sf_dir).limit(100)
+
+
+@query(f"WITH {TASK_SQL} SELECT id, priority FROM t WHERE NOT done AND NOT EXISTS (SELECT 1 FROM d JOIN t x ON x.id = d.dep WHERE d.id = t.id AND NOT x.done AND x.id <> t.id) ORDER BY priority, id")
+def ready_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task whose dependencies are all complete, by priority."""
     t = tasks(spark, sf_dir)
     waiting = dependencies(t).join(t.where(~F.col("done")).select(F.col("id").alias("dep")), "dep", "left_semi").where("id <> dep").select("id")
-    return t.where(~F.col("done")).join(waiting, "id", "left_anti").select("id", "priority").orderBy("priority", "id").limit(100)
+    return t.where(~F.col("done")).join(waiting, "id", "left_anti").select("id", "priority").orderBy("priority", "id")
 
 
 @query(f"WITH {TASK_SQL} SELECT priority, CAST(count(*) AS BIGINT) AS n, round(100.0::DOUBLE * sum(CASE WHEN done THEN 1 ELSE 0 END) / count(*), 4) AS progress FROM t GROUP BY priority")

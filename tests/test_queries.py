@@ -21,6 +21,14 @@ def test_runs(name, spark, sf_dir):
     assert df.columns and df.count() >= 0
 
 
+def test_every_ready_task_returns(spark, tmp_path):
+    rows = {k: (k, "F" if k < 300 else "O", f"{k % 5}-x") for k in range(1000)}
+    spark.createDataFrame(list(rows.values()), "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    ready = sorted((r[2], k) for k, r in rows.items() if r[1] != "F" and all(rows[d][1] == "F" for d in (k // 2, k // 3)))
+    assert len(ready) == 300
+    assert [(r.priority, r.id) for r in QUERIES["ready_frontier"](spark, str(tmp_path)).collect()] == ready
+
+
 def test_entry():
     import __spark_entry__ as e
 
