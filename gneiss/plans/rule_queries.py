@@ -210,7 +210,7 @@ def progress_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, CAST(row_number() OVER (ORDER BY rate DESC, user_id) AS BIGINT) AS place, CASE WHEN rate >= 0.9 THEN 8 WHEN rate >= 0.7 THEN 4 ELSE 3 END AS workers FROM (SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events GROUP BY user_id) ORDER BY rate DESC, user_id LIMIT 20""")
 def tool_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tools by success rate, and how many workers each gets; the 20 best."""
+    """The 20 most reliable tools, and workers by success rate. The schedule of calls is ``tool_call_schedule``."""
     top = load(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") != "error").cast("double")), 6).alias("rate")).orderBy(F.desc("rate"), "user_id").limit(20)
     from pyspark.sql import Window
 
@@ -218,6 +218,23 @@ def tool_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("user_id", place.alias("place"), F.when(F.col("rate") >= 0.9, 8).when(F.col("rate") >= 0.7, 4).otherwise(3).alias("workers"))
 
 
+@query()
+def tool_call_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of every turn by its tool's success rate, concurrent or serial, and the turn's workers.
+
+    A turn is ten consecutive events, a tool a user. Tools that failed in the same turn had a conflict.
+    """
+    from gneiss.operators import scheduling
+
+    e = load(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10).alias("turn"), F.col("event_id").alias("call"), F.col("user_id").alias("tool"), (F.col("event_type") != "error").alias("ok"))
+    k = F.col("tool")
+    tools = e.groupBy("tool").agg((F.sum(F.col("ok").cast("long")) / F.count("*")).alias("rate")).select("tool", "rate", (k % 5 != 0).alias("safe"), (k % 11 == 1).alias("writes"), (k % 13 == 1).alias("runs"))
+    bad = e.where(~F.col("ok"))
+    both = bad.alias("x").join(bad.alias("y"), (F.col("x.turn") == F.col("y.turn")) & (F.col("x.call") < F.col("y.call")))
+    conflicts = both.select(F.least("x.tool", "y.tool").alias("a"), F.greatest("x.tool", "y.tool").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return scheduling.schedule(e.select("turn", "call", "tool"), tools, conflicts)
+
+
 @query("""SELECT severity, doc_id FROM (SELECT doc_id, severity, row_number() OVER (PARTITION BY severity ORDER BY doc_id) AS n FROM (SELECT doc_id, CASE WHEN n_chars > 8000 THEN 'warning' WHEN n_chars < 200 THEN 'info' ELSE 'style' END AS severity FROM documents)) WHERE n <= 10""")
 def issues_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten issues of each class; each task keeps ten before the shuffle."""

@@ -29,6 +29,29 @@ def test_every_ready_task_returns(spark, tmp_path):
     assert [(r.priority, r.id) for r in QUERIES["ready_frontier"](spark, str(tmp_path)).collect()] == ready
 
 
+def test_every_call_is_scheduled(spark, sf_dir):
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    turns, ok = defaultdict(list), defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect():
+        turns[r.event_id // 10].append((r.event_id, r.user_id, r.event_type != "error"))
+        ok[r.user_id].append(r.event_type != "error")
+    history = Counter(frozenset((a[1], b[1])) for calls in turns.values() for a, b in combinations([c for c in calls if not c[2]], 2))
+    expected = set()
+    for turn, calls in turns.items():
+        calls = sorted(calls, key=lambda c: -sum(ok[c[1]]) / len(ok[c[1]]))
+        chosen = []
+        for c in calls:
+            if len(calls) == 1 or (c[1] % 5 and not any(history[frozenset((c[1], o[1]))] >= 2 for o in chosen)):
+                chosen.append(c)
+        workers = min(len(chosen), 8, 4 if any(c[1] % 11 == 1 for c in chosen) else 8, 3 if any(c[1] % 13 == 1 for c in chosen) else 8)
+        expected |= {(turn, c[0], c[1], at, c in chosen, max(1, workers)) for at, c in enumerate(calls, 1)}
+    got = [(r.turn, r.call, r.tool, r.place, r.concurrent, r.workers) for r in QUERIES["tool_call_schedule"](spark, sf_dir).collect()]
+    assert len(got) == len(expected) > 20 and set(got) == expected
+    assert {x[4] for x in got} == {True, False} and len({x[5] for x in got}) > 2
+
+
 def test_entry():
     import __spark_entry__ as e
 
