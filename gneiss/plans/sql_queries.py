@@ -53,6 +53,13 @@ def sql_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlfacade.display(sqlfacade.select(spark, "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 30"), 10)
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 10) AS c_name FROM customer ORDER BY customer.c_custkey LIMIT 100")
+def sql_display_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQ6: the first rows of a whole table, by the facade's own limit."""
+    sqlfacade.register(spark, sf_dir, ("customer",))
+    return sqlfacade.display(sqlfacade.select(spark, "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey"), 10)
+
+
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n FROM {t}" for t in sqlfacade.TABLES))
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQ4."""

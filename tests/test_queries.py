@@ -52,6 +52,11 @@ def test_every_call_is_scheduled(spark, sf_dir):
     assert {x[4] for x in got} == {True, False} and len({x[5] for x in got}) > 2
 
 
+def test_display_reads_the_whole_table(spark, sf_dir):
+    keys = sorted(r.c_custkey for r in spark.read.parquet(f"{sf_dir}/customer.parquet").collect())
+    assert [r.c_custkey for r in QUERIES["sql_display_table"](spark, sf_dir).collect()] == [str(k) for k in keys[:100]] and len(keys) > 100
+
+
 def test_entry():
     import __spark_entry__ as e
 
