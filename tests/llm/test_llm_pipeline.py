@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 import corpus_pipeline
 from gneiss.llm import quality, queries, simhash, toxicity
-from tests.llm.test_operators import groups, slow_fingerprint, slow_ids, slow_measures
+from test_llm_operators import groups, slow_fingerprint, slow_ids, slow_measures
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
