@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.bytebpe import byte_bpe
+from gneiss.llm.bytebpe import byte_bpe, with_end
 from gneiss.session import cut, ship
 
 ROOM = 1024
@@ -190,18 +190,22 @@ def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe(vocabulary)
         for b in batches:
-            row, start, length, crc, total = [], [], [], [], []
-            for k, text in enumerate(b.column("text")):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(END_ID)).astype("<u4")
-                data, n = memoryview(ids.tobytes()), len(ids)
-                for s, size in cuts(n):
-                    row.append(k)
-                    start.append(s)
-                    length.append(size)
-                    crc.append(zlib.crc32(data[4 * s : 4 * (s + size)]))
-                    total.append(n)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("text_hash").take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "text_hash", "start", "length", "ids_crc32", "doc_tokens"])
+            at = 0
+            for ids, counts in encoder.encode_array(b.column("text")):
+                ids, counts = with_end(ids, counts, END_ID)
+                data, begin = memoryview(ids.tobytes()), 0
+                row, start, length, crc = [], [], [], []
+                for k, n in enumerate(counts.tolist(), at):
+                    for s, size in cuts(n):
+                        row.append(k)
+                        start.append(s)
+                        length.append(size)
+                        crc.append(zlib.crc32(data[4 * (begin + s) : 4 * (begin + s + size)]))
+                    begin += n
+                which = pa.array(row, pa.int64())
+                total = counts[np.array(row, dtype=np.int64) - at]
+                at += len(counts)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(which), b.column("text_hash").take(which), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "text_hash", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     return rows.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, start long, length long, ids_crc32 long, doc_tokens long")

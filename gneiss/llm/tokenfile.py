@@ -14,6 +14,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm import sharedfs
-from gneiss.llm.bytebpe import byte_bpe
+from gneiss.llm.bytebpe import byte_bpe, with_end
 from gneiss.session import cut, shared_folder, ship
 
 MAGIC = b"GPF1"
@@ -35,6 +36,14 @@ SPAN = 1 << 19
 HEAD = struct.Struct("<IIBI")
 
 
+@lru_cache(maxsize=128)
+def _layout(n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where n values of a width lie in 64-bit words: each one's word and shift, each word's first value, and the values that reach into the next word."""
+    at = np.arange(n) * width
+    word, shift = at >> 6, (at & 63).astype(np.uint64)
+    return word, shift, np.searchsorted(word, np.arange(word[-1] + 1)), np.flatnonzero((at & 63) + width > 64)
+
+
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block. Any unsigned 32-bit ids, at least one."""
     low = int(ids.min())
@@ -44,8 +53,14 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     odd = np.flatnonzero(d >> np.uint32(width)) if width < 32 else np.zeros(0, dtype=np.int64)
     values = d[odd]
     d[odd] = 0
-    bits = np.unpackbits(d.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return HEAD.pack(len(d), low, width, len(odd)) + np.packbits(bits, bitorder="little").tobytes() + odd.astype("<u4").tobytes() + values.tobytes()
+    packed = b""
+    if width:
+        word, shift, first, over = _layout(len(d), width)
+        wide = d.astype(np.uint64)
+        words = np.append(np.add.reduceat(wide << shift, first), np.uint64(0))  # values share no bit, so that a sum joins them
+        words[word[over] + 1] += wide[over] >> (np.uint64(64) - shift[over])
+        packed = words.astype("<u8").tobytes()[: (len(d) * width + 7) // 8]
+    return HEAD.pack(len(d), low, width, len(odd)) + packed + odd.astype("<u4").tobytes() + values.tobytes()
 
 
 def unpack_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
@@ -53,10 +68,13 @@ def unpack_block(data: bytes | memoryview, at: int = 0) -> np.ndarray:
     n, low, width, odd = HEAD.unpack_from(data, at)
     at += HEAD.size
     size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    wide = np.zeros((n, 32), dtype=np.uint8)
-    wide[:, :width] = bits
-    d = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1).copy()
+    d = np.zeros(n, dtype=np.uint32)
+    if width:
+        word, shift, _, over = _layout(n, width)
+        words = np.frombuffer(bytes(data[at : at + size]) + bytes(-size % 8 + 8), dtype="<u8")
+        wide = words[word] >> shift
+        wide[over] |= words[word[over] + 1] << (np.uint64(64) - shift[over])
+        d = (wide & np.uint64((1 << width) - 1)).astype(np.uint32)
     at += size
     d[np.frombuffer(data, "<u4", odd, at)] = np.frombuffer(data, "<u4", odd, at + 4 * odd)
     return d + np.uint32(low)
@@ -72,11 +90,15 @@ class Writer:
         self.n_ids = 0
         self.at = len(MAGIC)
         self.blocks: list[int] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_docs = 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, self.n_ids))
+    def add(self, doc_ids: np.ndarray, null: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Documents whose ids stand one after the other, counts of them each; a null document id counts as 0."""
+        ends = self.n_ids + np.cumsum(counts)
+        self.docs.append((np.where(null, 0, doc_ids), null, ends - counts))
+        self.n_docs += len(counts)
         self.n_ids += len(ids)
         self.rest.append(ids)
         self.waiting += len(ids)
@@ -98,8 +120,8 @@ class Writer:
     def close(self) -> int:
         """Writes what is left and the footer; the file's size."""
         self._flush(1)
-        ids, null, starts = zip(*self.docs) if self.docs else ((), (), ())
-        foot = struct.pack("<QQ", len(self.blocks), len(self.docs)) + np.array(self.blocks, "<u8").tobytes() + np.array(ids, "<i8").tobytes() + np.array(null, np.uint8).tobytes() + np.array(starts, "<u8").tobytes()
+        ids, null, starts = (np.concatenate([np.zeros(0, t), *x]).astype(t) for t, x in zip(("<i8", np.uint8, "<u8"), zip(*self.docs) if self.docs else ((), (), ())))
+        foot = struct.pack("<QQ", len(self.blocks), self.n_docs) + np.array(self.blocks, "<u8").tobytes() + ids.tobytes() + null.tobytes() + starts.tobytes()
         self.out.write(foot + struct.pack("<Q", len(foot)) + MAGIC)
         self.out.close()
         return self.at + len(foot) + 8 + len(MAGIC)
@@ -164,16 +186,22 @@ def write(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
         task = TaskContext.get()
         encoder, writer, path = byte_bpe(vocabulary), None, f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.gpf"
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                if writer is None:
-                    writer = Writer(sharedfs.create(path))
-                writer.add(doc_id, np.append(encoder.encode(text.as_py()), np.uint32(END_ID)))
+            doc_ids, null = b.column("doc_id").fill_null(0).to_numpy(), b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            at = 0
+            for ids, counts in encoder.encode_array(b.column("text")):
+                writer = writer or Writer(sharedfs.create(path))
+                upto = at + len(counts)
+                writer.add(doc_ids[at:upto], null[at:upto], *with_end(ids, counts, END_ID))
+                at = upto
         if writer is not None:
             size = writer.close()
-            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": len(writer.docs), "n_ids": writer.n_ids, "n_bytes": size}])
+            yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": path, "n_docs": writer.n_docs, "n_ids": writer.n_ids, "n_bytes": size}])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows of one id, and even repeats of one row, are dealt to as many ranges as their number asks for.
+    rows = rows.withColumns({"_h": F.xxhash64("text"), "_r": F.pmod(F.monotonically_increasing_id(), F.lit(4096))})
+    order = ["doc_id", "_h", "_r"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return cut(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long, n_bytes long"))
 
 
