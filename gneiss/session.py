@@ -27,16 +27,16 @@ def build_session(master: str = "local[*]", app: str = "gneiss", **conf: str) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where unset (tests), a new local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a new local folder; any other raises."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(root)
-        return root.rstrip("/")
+    if not root and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = Path(tempfile.mkdtemp(prefix="gneiss-")).as_uri()
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="gneiss-")).as_uri())
-    return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
+        sc.setCheckpointDir(root)
+    return (root or str(sc._jsc.sc().getCheckpointDir().get())).rstrip("/")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -50,8 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows and bytes of an Arrow batch to a Python worker, at most, where the session has Spark's defaults: two workers share an executor's spare memory.
+ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once a context, so that their Python workers can import it."""
+    """Send this package's source to the executors, once a context, so that their Python workers can import it; and bound Arrow batches."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     sc = spark.sparkContext
     if getattr(sc, "_gneiss_shipped", False):
         return
