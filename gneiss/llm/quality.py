@@ -16,20 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from gneiss.llm.frames import kept
 from gneiss.llm.words import words
 from gneiss.session import ship
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-#: Rule name -> failure condition in SQL over the measurements. A rule's bit is its place here.
+#: Rule name -> the failure condition: factor * measure, sign, factor * measure (or a number). A rule's bit is its place here.
 RULES = {
-    "few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
-    "short_words": "word_chars < 3 * n_words",
-    "long_words": "word_chars > 12 * n_words",
+    "few_words": (1, "n_words", "<", 10, None),
+    "repeated_windows": (100, "n_repeat_words", ">", 20, "n_words"),
+    "symbols": (10, "n_symbols", ">", 1, "n_words"),
+    "repeated_lines": (10, "n_dup_lines", ">", 3, "n_lines"),
+    "short_words": (1, "word_chars", "<", 3, "n_words"),
+    "long_words": (1, "word_chars", ">", 12, "n_words"),
 }
 #: Policy version -> the rules that reject.
 POLICIES = {
@@ -77,8 +78,21 @@ def measure(text: str | None) -> tuple[int, ...]:
     return (len(w), len(text) - sum(map(text.count, " \t\n\x0b\f\r")), sum(map(text.count, SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeat_words(w))
 
 
-def _bits() -> Column:
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(sql), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, sql in enumerate(RULES.values())))
+def condition(rule: str) -> str:
+    """A rule's failure condition in SQL over the measurements."""
+    a, left, sign, b, right = RULES[rule]
+    return f"{a} * {left} {sign} {b}" + (f" * {right}" if right else "")
+
+
+def measured(texts: pa.Array) -> np.ndarray:
+    """(texts, MEASURES and then rule_bits), each rule evaluated once."""
+    found = np.array([measure(t.as_py()) for t in texts], dtype=np.int64).reshape(len(texts), len(MEASURES))
+    column = dict(zip(MEASURES, found.T)) | {None: 1}
+    bits = np.zeros(len(texts), dtype=np.int64)
+    for k, (a, left, sign, b, right) in enumerate(RULES.values()):
+        x, y = a * column[left], b * column[right]
+        bits |= (x < y if sign == "<" else x > y).astype(np.int64) << k
+    return np.column_stack([found, bits])
 
 
 def mask(policy: str = DEFAULT_POLICY) -> int:
@@ -102,12 +116,12 @@ def ledger(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([measure(t.as_py()) for t in b.column("_text")], dtype=np.int64).reshape(b.num_rows, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *(pa.array(x) for x in found.T)], names=[*carry, *MEASURES])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), *(pa.array(x) for x in measured(b.column("_text")).T)], names=names)
 
     src = docs.select(*carry, F.col(text_col).cast("string").alias("_text"))
-    schema = StructType([*(f for f in src.schema.fields if f.name != "_text"), *(StructField(m, LongType()) for m in MEASURES)])
-    return src.mapInArrow(run, schema).withColumn("rule_bits", _bits())
+    names = [*carry, *MEASURES, "rule_bits"]
+    schema = StructType([*(f for f in src.schema.fields if f.name != "_text"), *(StructField(m, LongType()) for m in names[len(carry) :])])
+    return src.mapInArrow(run, schema)
 
 
 def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
@@ -127,9 +141,12 @@ def ablations(rows: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = DEFAULT_POLICY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass a policy, with the columns of ``docs``."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))  # so that no name can clash
-    return ledger(rows, "_whole", ("_row",)).where(passes(policy)).select("_row.*")
+    """The rows of ``docs`` that pass a policy, with the columns of ``docs``.
+
+    Null and empty texts have no words and go, under every policy here. Repeated rows stay or go together.
+    """
+    rejecting = mask(policy)
+    return kept(docs, text_col, lambda texts: measured(texts)[:, -1] & rejecting == 0)
 
 
 #: The same in DuckDB, over the view ``documents``.
@@ -153,5 +170,12 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 
 def query_sql(policy: str = DEFAULT_POLICY) -> str:
     """DuckDB SQL of the registered query."""
-    fails = lambda names: " OR ".join(f"({RULES[r]})" for r in names)
+    fails = lambda names: " OR ".join(f"({condition(r)})" for r in names)
     return LEDGER_SQL + f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({fails(POLICIES['base'])}) AS base_failed, NOT ({fails(POLICIES['base'] + POLICIES[policy])}) AS kept FROM m"
+
+
+def ablation_sql(policy: str = DEFAULT_POLICY) -> str:
+    """DuckDB SQL of ``ablations`` over the ledger of ``documents``."""
+    fails = {r: f"({condition(r)})" for r in POLICIES[policy]}
+    rows = [f"SELECT '{r}' AS rule, CAST(count(*) FILTER ({f}) AS BIGINT) AS n_failed, CAST(count(*) FILTER ({' AND '.join([f, *(f'NOT {g}' for q, g in fails.items() if q != r)])}) AS BIGINT) AS n_only, CAST(count(*) AS BIGINT) AS n_docs FROM m" for r, f in fails.items()]
+    return LEDGER_SQL + " UNION ALL ".join(rows)

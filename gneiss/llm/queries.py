@@ -55,6 +55,11 @@ def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality.passes()).alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what it alone rejects, counted by the ledger's bits."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -84,7 +89,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op7_chat_hmm, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup)
+ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op7_chat_hmm, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup, quality_ablations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -92,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_ledger": quality.query_sql(), "op8_arc_to_warc": arc.QUERY_SQL}
+    return {"op4_quality_ledger": quality.query_sql(), "quality_ablations": quality.ablation_sql(), "op8_arc_to_warc": arc.QUERY_SQL}

@@ -106,11 +106,34 @@ def test_pivot_window_equals_brute_force():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, dtype=np.uint64)
     f = np.unique(np.array([int(base) ^ sum(1 << int(b) for b in rng.integers(0, 64, 4)) for _ in range(600)], dtype=np.uint64))
-    u, v = simhash.link_cell(f.view(np.int64), np.zeros(len(f), int), False)
+    u, v = simhash.link_cells(f.view(np.int64), np.zeros(len(f), int), np.full(len(f), -1))
     root = groups([int(x) for x in f])
     assert len(u) == len(f) - len(set(root))
 
 
+def test_pivots_decide_pairs_of_small_lists(spark):
+    """At sf0.1, where no list has more than a few fingerprints, coordinate differences discard what isn't a link."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], dtype=np.int64)).view(np.uint64)
+    tally = np.zeros(4, dtype=np.int64)
+    found = set()
+    for n, (a, b) in enumerate(simhash.LISTS):
+        key = np.zeros(len(fps), dtype=np.uint64)
+        for at, width in (simhash.BLOCKS[a], simhash.BLOCKS[b]):
+            key = key << np.uint64(width) | (fps >> np.uint64(at) & np.uint64((1 << width) - 1))
+        order = np.argsort(key, kind="stable")
+        cell = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        for i, j in simhash.near_pairs(fps[order], cell, np.full(len(fps), -1), tally):
+            found |= {tuple(sorted((int(x), int(y)))) for x, y in zip(fps[order][i], fps[order][j])}
+    want = set()
+    for k, f in enumerate(fps):
+        near = np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ f) <= 3) + k + 1
+        want |= {tuple(sorted((int(f), int(fps[x])))) for x in near}
+    pairs, windows, survivors, links = tally
+    assert found == want and links >= len(want)
+    assert pairs > windows > survivors >= links and survivors - links < 0.1 * (pairs - links)
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -256,8 +279,8 @@ def test_file_round_trip():
     rng, w = np.random.default_rng(5), tokenfile.Writer(out)
     want = {k: rng.integers(0, 50_257, int(n)).astype("<u4") for k, n in enumerate(rng.integers(1, 9000, 30))}
     for k, ids in want.items():
-        w.add(k, ids)
-    w.add(None, np.zeros(1, "<u4"))
+        w.add(np.array([k]), np.array([False]), ids, np.array([len(ids)]))
+    w.add(np.array([0]), np.array([True]), np.zeros(1, "<u4"), np.array([1]))
     size = w.close()
     data = out.getvalue()
     assert size == len(data)
@@ -283,11 +306,14 @@ def test_encoder_equals_the_library(text):
     assert e.encode(text).tolist() == e.tok.encode(text, add_special_tokens=False).ids
 
 
-def test_encoder_caches_stay_right():
+def test_encoder_batches(monkeypatch):
+    texts = [*TEXTS, "a\tb  c\n\n d\r\n", "x\u00a0y", " lead", "trail ", "汉字かな Привет — “q”", "ª² ́", *TEXTS]
     e = bytebpe.ByteBPE(BPE)
-    e.pieces.half = e.parts.half = 5
-    for t in [LONG[:3000], *[x or "" for x in TEXTS], LONG[:3000]]:
-        assert e.encode(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
+    for together, call in ((1, 1), (100, 3), (1 << 22, 256)):
+        monkeypatch.setattr(bytebpe, "TOGETHER", together)
+        monkeypatch.setattr(bytebpe, "CALL", call)
+        assert [x.tolist() for x in e.encode_all(texts)] == [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(e.encode_all([])) == []
 
 
 def test_token_files(docs):

@@ -17,7 +17,7 @@ def test_equals_sql(name, spark, sf_dir, rows_of, duck_rows):
     assert sorted(df.columns) == names and rows_of(df) == expected
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n.startswith("op")))
 def test_whole_table(name, spark, sf_dir):
     df = queries.queries()[name](spark, sf_dir)
     table = {"op8": "pages", "op10": "embeddings"}.get(name.split("_")[0], "documents")
