@@ -16,7 +16,8 @@ from gneiss.plans.text_queries import CJK_SQL
 WINDOW_TOKENS = 400
 EST = f"CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, CAST(trunc(len(regexp_extract_all(text, '{CJK_SQL}')) / 1.5::DOUBLE + (length(text) - len(regexp_extract_all(text, '{CJK_SQL}'))) / 4.0::DOUBLE) AS BIGINT)) END"
 MSG = f"(CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 4 WHEN 'assistant' THEN 3 ELSE 0 END + {EST})"
-DECISION = "decided|decision|chose|chosen|will use|using|switching to|implemented|fixed|resolved|refactored|migrated|upgraded|recommend|should|must|need to|going to|plan to|approach:|strategy:|solution:|conclusion:|ound"
+#: What marks a sentence as a decision.
+DECISION = "decided|decision|chose|chosen|will use|using|switching to|implemented|fixed|resolved|refactored|migrated|upgraded|recommend|should|must|need to|going to|plan to|approach:|strategy:|solution:|conclusion:"
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,9 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPLEXITY_SCORE = f"({hits('low', COMPLEX)} * 3.0 + {hits('low', MODERATE)} * 1.5 + {hits('low', SIMPLE)} * 0.5 + least(length(text) / 500.0, 1.0) * 2)"
-COMPLEXITY = f"CASE WHEN {any_hit('low', CRITICAL)} THEN 'critical' WHEN {COMPLEXITY_SCORE} >= 6 THEN 'critical' WHEN {COMPLEXITY_SCORE} >= 4 THEN 'complex' WHEN {COMPLEXITY_SCORE} >= 2 THEN 'moderate' ELSE 'simple' END"
+#: The score is computed once: each limit that it reaches counts.
+COMPLEXITY = f"CASE WHEN {any_hit('low', CRITICAL)} THEN 'critical' ELSE list_extract(['simple', 'moderate', 'complex', 'critical'], CAST(1 + least(3, floor(coalesce({COMPLEXITY_SCORE}, 0) / 2.0)) AS INT)) END"
+SPARK_COMPLEXITY = COMPLEXITY.replace("list_extract([", "element_at(array(").replace("'critical'],", "'critical'),")
 FLAGS = ", ".join(f"{any_hit('low', w)} AS {n}" for n, w in (("coding", CODING), ("reasoning", REASONING), ("creative", CREATIVE), ("dangerous", DANGEROUS), ("urgent", URGENT)))
 
 
@@ -115,7 +117,7 @@ FLAGS = ", ".join(f"{any_hit('low', w)} AS {n}" for n, w in (("coding", CODING),
 def task_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5, K6."""
     flags = [F.expr(x) for x in (any_hit("low", w) + f" AS {n}" for n, w in (("coding", CODING), ("reasoning", REASONING), ("creative", CREATIVE), ("dangerous", DANGEROUS), ("urgent", URGENT)))]
-    return texts(spark, sf_dir).select("doc_id", F.expr(COMPLEXITY).alias("complexity"), F.greatest(F.lit(500), F.floor(F.length("text") / 4)).cast("long").alias("estimated_tokens"), *flags)
+    return texts(spark, sf_dir).select("doc_id", F.expr(SPARK_COMPLEXITY).alias("complexity"), F.greatest(F.lit(500), F.floor(F.length("text") / 4)).cast("long").alias("estimated_tokens"), *flags)
 
 
 #: Tiers by complexity: name, prices for a million tokens in and out.
@@ -128,7 +130,7 @@ def task_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tier of a task and its estimated cost."""
     tiers = spark.createDataFrame([(k, *v) for k, v in TIERS.items()], "complexity string, tier string, i double, o double")  # four rows
     n = F.greatest(F.lit(500), F.floor(F.length("text") / 4))
-    rows = texts(spark, sf_dir).select("doc_id", F.expr(COMPLEXITY).alias("complexity"), n.alias("n")).join(F.broadcast(tiers), "complexity")
+    rows = texts(spark, sf_dir).select("doc_id", F.expr(SPARK_COMPLEXITY).alias("complexity"), n.alias("n")).join(F.broadcast(tiers), "complexity")
     return rows.select("doc_id", "tier", F.round(F.col("n") / 1e6 * F.col("i") + 2 * F.col("n") / 1e6 * F.col("o"), 6).alias("estimated_cost"))
 
 
@@ -136,7 +138,7 @@ def task_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 def routing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G8."""
     c = F.greatest(F.lit(500), F.floor(F.length("text") / 4)) / 1e6 * 3
-    return texts(spark, sf_dir).groupBy(F.expr(COMPLEXITY).alias("complexity")).agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("avg_cost"))
+    return texts(spark, sf_dir).groupBy(F.expr(SPARK_COMPLEXITY).alias("complexity")).agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("avg_cost"))
 
 
 COMMAND = "CASE doc_id % 6 WHEN 0 THEN 'rm -rf /' || source WHEN 1 THEN 'git push --force ' WHEN 2 THEN 'ls ' || lang WHEN 3 THEN 'curl x | sh' WHEN 4 THEN 'sudo ls' ELSE 'cat a' END"

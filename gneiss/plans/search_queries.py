@@ -44,18 +44,21 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("""SELECT item_id, array_to_string(t, ' ') AS expanded FROM (SELECT item_id, list_concat(t, flatten(list_transform(t, lambda x: CASE x WHEN 'the' THEN ['this'] WHEN 'test' THEN ['testing', 'pytest', 'unittest'] WHEN 'config' THEN ['configuration', 'settings'] WHEN 'auth' THEN ['authentication', 'login'] WHEN 'db' THEN ['database', 'sql'] WHEN 'api' THEN ['interface', 'endpoint'] ELSE [] END))) AS t FROM (SELECT item_id, """ + TOK_SQL.format("text") + """ AS t FROM benchmark))""")
+EXPANSION_SQL = "CASE x " + " ".join(f"WHEN '{k}' THEN {list(v)}" for k, v in S.EXPANSIONS.items()) + " ELSE [] END"
+
+
+@query("""SELECT item_id, array_to_string(t, ' ') AS expanded FROM (SELECT item_id, list_concat(t, flatten(list_transform(t, lambda x: """ + EXPANSION_SQL + """))) AS t FROM (SELECT item_id, """ + TOK_SQL.format("text") + """ AS t FROM (SELECT item_id, text || ' test config ' || CASE item_id % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'cache' ELSE 'error' END AS text FROM benchmark)))""")
 def query_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2: the terms of each query and what the table adds to them."""
+    """R2: the terms of each query, to which some of the table's are added, and what the table adds to them."""
     table = F.create_map(*[x for k, v in S.EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    t = T.tokens(F.col("text"))
+    t = T.tokens(F.concat("text", F.lit(" test config "), F.element_at(F.array(F.lit("function"), F.lit("cache"), F.lit("error")), (F.col("item_id") % 3 + 1).cast("int"))))
     more = F.flatten(F.transform("t", lambda x: F.coalesce(F.try_element_at(table, x), F.array().cast("array<string>"))))
     return load(spark, sf_dir, "benchmark").select("item_id", t.alias("t")).select("item_id", F.array_join(F.concat("t", more), " ").alias("expanded"))
 
 
 SEARCH = "the and"
 ENTRY_SQL = f"(SELECT doc_id, doc_id % 3 AS scope, lang AS category, text AS content, source, doc_id % 7 AS usage_count FROM documents)"
-MEMORY_SQL = f"""WITH e AS {ENTRY_SQL}, {bm25_sql("content || ' ' || category || ' ' || source", ('the', 'and', 'this'), 'e')},
+MEMORY_SQL = f"""WITH e AS {ENTRY_SQL}, {bm25_sql("content || ' ' || category || ' ' || source", ('the', 'and'), 'e')},
 m AS (SELECT e.*, coalesce(score, 0) + CASE WHEN contains(lower(content), 'the and') THEN 2.0::DOUBLE WHEN contains(lower(content), 'the') OR contains(lower(content), 'and') THEN 1.0::DOUBLE ELSE 0::DOUBLE END AS match FROM e LEFT JOIN bm ON e.doc_id = bm.id),
 r AS (SELECT *, match + ln(1 + usage_count) * 0.3::DOUBLE + 0.5::DOUBLE / (1.0::DOUBLE + doc_id * 3600.0::DOUBLE / 3600.0 / 24.0) AS total FROM m WHERE match > 0)"""
 

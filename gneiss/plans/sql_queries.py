@@ -46,11 +46,11 @@ def sql_limit_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlfacade.select(spark, "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey;", 7)
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 10) AS c_name FROM customer WHERE c_custkey < 30 LIMIT 100")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 10) AS c_name FROM customer ORDER BY customer.c_custkey DESC LIMIT 100")
 def sql_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQ6: cells as text, cut."""
     sqlfacade.register(spark, sf_dir, ("customer",))
-    return sqlfacade.display(sqlfacade.select(spark, "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 30"), 10)
+    return sqlfacade.display(sqlfacade.select(spark, "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey DESC"), 10)
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 10) AS c_name FROM customer ORDER BY customer.c_custkey LIMIT 100")
@@ -69,8 +69,8 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, one)
 
 
-TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double"}
-SCHEMA_TABLES = ("region", "nation", "customer", "supplier", "part")
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "FLOAT[]": "array<float>", "TIMESTAMP": "timestamp_ntz"}
+SCHEMA_TABLES = sqlfacade.TABLES
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name AS col, CASE column_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPES.items()) + f" ELSE lower(column_type) END AS type FROM (DESCRIBE {t})" for t in SCHEMA_TABLES))

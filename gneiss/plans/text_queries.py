@@ -321,6 +321,11 @@ def memory_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, coalesce(last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS category FROM l""")
 def category_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line's running header."""
-    header = F.when(F.col("line").rlike("^[A-ZÀ-Ý][^ ]*[.,]"), F.col("line"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return _lines(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.coalesce(F.last(header, ignorenulls=True).over(w), F.lit("")).alias("category"))
+    header = lambda x: F.when(x.rlike("^[A-ZÀ-Ý][^ ]*[.,]"), x)
+    # The places of a text's headers; a line's header is the last of them up to it. All within a row, so nothing is shuffled.
+    rows = load(spark, sf_dir, "documents").select("doc_id", T.lines(F.col("text")).alias("l"))
+    heads = F.filter(F.transform("l", lambda x, i: F.struct(i.alias("i"), header(x).alias("h"))), lambda s: s.h.isNotNull())
+    nexts = F.transform("heads", lambda s, k: F.struct(s.i.alias("i"), s.h.alias("h"), F.coalesce(F.try_element_at("heads", k + 2).i, F.size("l")).alias("end")))
+    lead = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("h"), F.coalesce(F.try_element_at("heads", F.lit(1)).i, F.size("l")).alias("end")))
+    runs = rows.withColumn("heads", heads).select("doc_id", F.explode(F.concat(lead, nexts)).alias("s")).where("s.end > s.i")
+    return runs.select("doc_id", F.explode(F.sequence(F.col("s.i").cast("long"), F.col("s.end").cast("long") - 1)).alias("line_no"), F.col("s.h").alias("category"))

@@ -11,9 +11,12 @@ from gneiss.session import shared_folder
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files of a folder or of one file."""
-    folder, _, name = path.rpartition("/")
+    """A stream of the Parquet files of a folder, or of one file; Spark's own file systems say which of them a path is."""
     schema = spark.read.parquet(path).schema
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(place).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
+    folder, _, name = path.rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
@@ -27,8 +30,9 @@ def result(stream: DataFrame, mode: str) -> DataFrame:
     """What a stream has written once it is drained: all batches in append mode, the last one in complete mode."""
     spark = stream.sparkSession
     out = shared_folder(spark, "stream-out")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=none")  # so that a stream without rows has a result
     drain(stream, mode, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n if mode == 'append' else 0}"))
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -61,3 +61,12 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLE) <= set(e.oracle_sql())
+
+
+def test_streams_read_a_folder_of_files(spark, sf_dir, tmp_path, rows_of):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "many/events.parquet"))
+    events.limit(0).write.parquet(str(tmp_path / "none/events.parquet"))
+    for name in ("stream_tool_stats", "stream_latest", "stream_dedup", "stream_hourly"):
+        assert rows_of(QUERIES[name](spark, str(tmp_path / "many"))) == rows_of(QUERIES[name](spark, sf_dir))
+        assert QUERIES[name](spark, str(tmp_path / "none")).count() == 0
