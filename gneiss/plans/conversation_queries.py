@@ -16,8 +16,7 @@ from gneiss.plans.text_queries import CJK_SQL
 WINDOW_TOKENS = 400
 EST = f"CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, CAST(trunc(len(regexp_extract_all(text, '{CJK_SQL}')) / 1.5::DOUBLE + (length(text) - len(regexp_extract_all(text, '{CJK_SQL}'))) / 4.0::DOUBLE) AS BIGINT)) END"
 MSG = f"(CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 4 WHEN 'assistant' THEN 3 ELSE 0 END + {EST})"
-#: What marks a sentence as a decision.
-DECISION = "decided|decision|chose|chosen|will use|using|switching to|implemented|fixed|resolved|refactored|migrated|upgraded|recommend|should|must|need to|going to|plan to|approach:|strategy:|solution:|conclusion:"
+DECISION = compaction.DECISION
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,29 +110,36 @@ def compact_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def layered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intents, decisions, conclusions within growing shares of a budget; a fold for each conversation."""
-    budget, shares = 120, (("intents", 0.35), ("decisions", 0.20), ("conclusions", 0.15))
+def compaction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a compaction did to each conversation."""
+    return compaction.history(load(spark, sf_dir, "conversations"), WINDOW_TOKENS)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import re
-
-        pdf = pdf.sort_values("turn", kind="stable")
-        user, said = ([t for t in pdf.text[pdf.role == r].fillna("") if t.strip()] for r in ("user", "assistant"))
-        parts = {"intents": [t.strip().replace("\n", " ")[:200] for t in user], "decisions": [s.strip()[:180] for t in said for s in t.replace("\n", " ").split(". ") if re.search(DECISION, s, re.I)], "conclusions": [t[:200].replace("\n", " ") for t in said]}
-        out, used, room = [], 0, 0.0
-        for name, share in shares:
-            room += budget * share
-            for p in dict.fromkeys(parts[name]):
-                n = compaction.tokens(p)
-                if used + n > room:
-                    break
-                used += n
-                out.append(f"{name}: {p}")
-        return pd.DataFrame({"conv_id": [pdf.conv_id.iloc[0]], "summary": ["\n".join(out)], "tokens": [used]})
 
-    compaction.ship(spark)
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id long, summary string, tokens long")
+#: How events stand for calls of tools: event type -> tool.
+EVENT_TOOLS = {"click": "edit_file", "view": "read_file", "error": "run_command"}
+
+
+def tool_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call and a result for each event of a user, with inputs, errors and long results."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")
+    tool = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in EVENT_TOOLS.items()], F.lit("grep_files"))
+    given = F.to_json(F.struct(F.concat(F.lit("src/"), "event_id", F.lit(".py")).alias("path"), F.concat(F.lit("make "), "event_type").alias("command"), F.col("event_type").alias("pattern")))
+    told = F.concat_ws("\n", F.concat(F.lit("exit code "), F.col("event_id") % 3), F.array_join(F.array_repeat("props", (F.col("event_id") % 7 * 60 + 1).cast("int")), "\n"))
+    call = F.struct((2 * F.col("event_id")).alias("turn"), F.lit("assistant_tool_call").alias("role"), F.lit("").alias("text"), tool.alias("tool"), given.alias("input"), F.lit(False).alias("error"))
+    result = F.struct((2 * F.col("event_id") + 1).alias("turn"), F.lit("tool_result").alias("role"), told.alias("text"), tool.alias("tool"), F.lit(None).cast("string").alias("input"), (F.col("event_type") == "error").alias("error"))
+    return e.select(F.col("user_id").cast("long").alias("conv_id"), F.explode(F.array(call, result)).alias("m")).select("conv_id", "m.*")
+
+
+@query()
+def compact_tool_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 to C9 with limits, summaries and errors by kind of tool."""
+    return compaction.compacted(tool_sessions(spark, sf_dir), 4000, 1)
+
+
+@query()
+def layered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six layers within growing shares of a budget; a fold for each conversation."""
+    return compaction.summaries(load(spark, sf_dir, "conversations"), 120)
 
 
 @query()
