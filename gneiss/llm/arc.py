@@ -3,7 +3,8 @@
 An ARC file begins with a version block (``filedesc://``) whose second line gives the version and whose third
 names the fields of every later header line. A header line's last field declares how many bytes follow.
 The converter reads by those declared lengths and makes what ARC lacks: record identifiers, ISO
-timestamps, record types and digests. Payloads seen before become revisits that refer to the first.
+timestamps, record types and digests. Payloads seen before become revisits that refer to the first. The
+version block becomes a warcinfo record, and what only version 2 says of a document goes into ARC- headers.
 """
 
 from __future__ import annotations
@@ -58,6 +59,14 @@ class ArcRecord:
         return 0
 
 
+@dataclass
+class VersionBlock:
+    name: str
+    date: str
+    version: int
+    body: bytes
+
+
 def arc_header(version: int, name: str = "pages.arc", when: str = "20000101000000") -> bytes:
     """A version block."""
     body = f"{version} {0} gneiss\n{' '.join(FIELDS[version])}\n\n".encode()
@@ -71,8 +80,8 @@ def arc_record(version: int, url: str, date: str, block: bytes, content_type: st
     return f"{url} {ip} {date} {content_type}{middle} {len(block)}\n".encode() + block + b"\n"
 
 
-def parse_arc(f: io.BufferedIOBase) -> Iterator[ArcRecord]:
-    """The documents of an open ARC file (not its version block). Raises ValueError on what is no ARC.
+def parse_arc(f: io.BufferedIOBase) -> Iterator[VersionBlock | ArcRecord]:
+    """The version block of an open ARC file and then its documents. Raises ValueError on what is no ARC.
 
     Header lines are split from the right, by the fields of the file's version, so that a URL may hold
     spaces. Lengths decide where a document ends, so its bytes may look like anything.
@@ -84,6 +93,8 @@ def parse_arc(f: io.BufferedIOBase) -> Iterator[ArcRecord]:
     lines = body.split(b"\n")
     version = int(lines[0].split(b" ", 1)[0])
     names = lines[1].decode("utf-8", "replace").split() if len(lines) > 1 and lines[1].strip() else list(FIELDS[version])
+    cells = line.decode("utf-8", "replace").split(" ")
+    yield VersionBlock(cells[0].removeprefix("filedesc://"), cells[2] if len(cells) > 2 else "", version, body)
     while line := f.readline():
         if not line.strip():
             continue  # line ends between documents
@@ -136,6 +147,7 @@ def convert(record: ArcRecord, rid: str, refers_to: str | None = None) -> bytes:
     headers = {"WARC-Target-URI": record.url, "WARC-IP-Address": record.ip, "WARC-Payload-Digest": f"sha1:{digest(memoryview(record.block)[payload_at:])}"}
     http = record.block[:5] == b"HTTP/"
     headers["Content-Type"] = "application/http;msgtype=response" if http else record.content_type
+    headers |= {f"ARC-{k}": v for k, v in record.more.items() if v not in ("", "-")}
     block = record.block
     if refers_to is not None:
         headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<{refers_to}>", "WARC-Truncated": "length"}
@@ -144,6 +156,12 @@ def convert(record: ArcRecord, rid: str, refers_to: str | None = None) -> bytes:
     return warc_record("response" if refers_to is None else "revisit", rid, iso_date(record.date), headers, block)
 
 
+def convert_info(block: VersionBlock, rid: str) -> bytes:
+    """The warcinfo record of a version block."""
+    said = f"software: gneiss\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC version {block.version}\r\n".encode()
+    return warc_record("warcinfo", rid, iso_date(block.date), {"WARC-Filename": block.name, "Content-Type": "application/warc-fields"}, said)
+
+
 def read_warc(f) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of an open WARC file."""
     while line := f.readline():
@@ -191,9 +209,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     when = FIRST_DAY + timedelta(seconds=(page or 0) % (20 * 365 * 86400))
                     legacy.write(arc_record(version, re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url), f"{when:%Y%m%d%H%M%S}", page_block(body), offset=legacy.tell()))
                 legacy.seek(0)
-                for record, page, one in zip(parse_arc(legacy), ids, firsts, strict=True):
-                    if out is None:
-                        out = sharedfs.create(path)
+                found = parse_arc(legacy)
+                info = next(found)
+                if out is None:
+                    out = sharedfs.create(path)
+                    out.write(gzip.compress(convert_info(info, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}"), 3, mtime=0))
+                for record, page, one in zip(found, ids, firsts, strict=True):
                     short = len(record.block) - record.payload_at < LEAST_PAYLOAD
                     again = not short and page != one
                     out.write(gzip.compress(convert(record, record_id(page), record_id(one) if again else None), 3, mtime=0))
@@ -221,6 +242,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 with sharedfs.open_file(path) as raw, gzip.GzipFile(fileobj=raw) as f:
                     rows = []
                     for head, block in read_warc(f):
+                        if head["warc-type"] == "warcinfo":
+                            continue
                         at = ArcRecord(0, "", "", "", "", block, {}).payload_at
                         said = head["warc-payload-digest"].removeprefix("sha1:")
                         if head["warc-type"] == "response":

@@ -1,8 +1,9 @@
 """Transcript parsing: a hidden Markov model recovers the roles of lines, then turns are rendered canonically.
 
 A line's symbol combines its speaker marker, if any, with its length, whether it asks and whether it is
-a list or code line. Emissions and transitions are counted over labelled lines and smoothed. Decoding is
-Viterbi's. A transcript may be as long as the input: lines are range-partitioned by (transcript, order), so
+a list or code line. Each role has two states, for the line that begins a turn and for the lines within it:
+only the first may be marked, and a turn of the same role can't follow without one of another or a marker.
+Emissions and transitions are counted over labelled lines and smoothed. Decoding is Viterbi's. A transcript may be as long as the input: lines are range-partitioned by (transcript, order), so
 a long one covers several partitions; each partition returns, for the transcripts at its edges only, a matrix
 of best scores from any state before to any state after; the driver chains those few matrices, and each
 partition then decodes alone, between known states.
@@ -11,6 +12,7 @@ partition then decodes alone, between known states.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,13 @@ NAMES = {
     "assistant": "assistant|ai|bot|gpt|answer|a|model|agent",
 }
 MARKER = re.compile(r"\s*(?:(?:\*\*|#+ *|>+ *)?(?:" + "|".join(f"(?P<{r}>{n})" for r, n in NAMES.items()) + r")(?:\*\*)? *:|<\|?(?:im_start\|>)?(?P<tag>system|user|assistant)\|?>|\[(?P<box>system|user|assistant)\])", re.I)
-SYMBOLS = 4 * 4 * 2 * 2
-#: Pseudo-counts: of each symbol in each state, and of a marker's symbols in its own state.
-FLAT, OWN = 0.5, 50.0
+#: Line lengths that part the classes of lengths.
+SIZES = (1, 20, 40, 80, 120, 200, 300, 450, 700)
+SYMBOLS = 4 * (len(SIZES) + 1) * 2 * 2
+#: A state is twice its role's number, plus one within a turn.
+STATES = 2 * len(ROLES)
+#: Pseudo-counts: of each symbol in each state, of a marker's symbols in its own state, of each possible step; and what stands for none.
+FLAT, OWN, STEP, NONE = 0.5, 50.0, 0.5, 1e-9
 
 
 def marker(line: str) -> tuple[int, int]:
@@ -48,26 +54,36 @@ def symbol(line: str) -> int:
     """The observation that a line is."""
     said, at = marker(line)
     rest = line[at:].strip()
-    size = (len(rest) >= 40) + (len(rest) >= 120) + (len(rest) >= 300)
-    return ((said * 4 + size) * 2 + rest.endswith("?")) * 2 + bool(re.match(r"[-*+] |\d+[.)] |```|    ", line[at:].lstrip() or " "))
+    size = bisect_right(SIZES, len(rest))
+    return ((said * (len(SIZES) + 1) + size) * 2 + rest.endswith("?")) * 2 + bool(re.match(r"[-*+] |\d+[.)] |```|    ", line[at:].lstrip() or " "))
 
 
 class Model:
-    """Log probabilities: start (3), step (3, 3) and shown (3, SYMBOLS)."""
+    """Log probabilities: start (STATES), step (STATES, STATES) and shown (STATES, SYMBOLS)."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, shown: np.ndarray):
-        own = np.full((3, SYMBOLS), FLAT)
-        for r in range(3):
-            own[r, (1 + r) * 16 : (2 + r) * 16] += OWN
-        self.start = np.log((start + 1) / (start + 1).sum())
-        self.step = np.log((step + 1) / (step + 1).sum(axis=1, keepdims=True))
-        self.shown = np.log((shown + own) / (shown + own).sum(axis=1, keepdims=True))
+        own, said = np.full((STATES, SYMBOLS), FLAT), np.arange(SYMBOLS) // (SYMBOLS // 4)
+        possible = np.zeros((STATES, STATES))
+        for s in range(STATES):
+            if s % 2:
+                own[s, said > 0] = NONE  # a marker always begins a turn
+            else:
+                own[s, said == 1 + s // 2] += OWN
+                own[s, (said > 0) & (said != 1 + s // 2)] = NONE
+            possible[s, ::2] = STEP
+            possible[s, s | 1] = STEP
+        mine = np.where(np.arange(STATES) % 2 == 0, 1.0, NONE)
+        self.start = np.log((start + mine) / (start + mine).sum())
+        step = step + np.maximum(possible, NONE)
+        self.step = np.log(step / step.sum(axis=1, keepdims=True))
+        shown = shown * (own > NONE) + own
+        self.shown = np.log(shown / shown.sum(axis=1, keepdims=True))
 
     def through(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(4, 3) best scores from each state before (row 3: from the start) to each last state, and the first line's state on that path."""
+        """(STATES + 1, STATES) best scores from each state before (last row: from the start) to each last state, and the first line's state on that path."""
         first = np.vstack([self.step, self.start])
         score = first + self.shown[:, seen[0]][None, :]
-        lead = np.broadcast_to(np.arange(3), (4, 3)).copy()
+        lead = np.broadcast_to(np.arange(STATES), (STATES + 1, STATES)).copy()
         for s in seen[1:]:
             both = score[:, :, None] + self.step[None, :, :]
             k = both.argmax(axis=1)
@@ -77,18 +93,19 @@ class Model:
 
     def decode(self, seen: np.ndarray, before: int | None = None, last: int | None = None) -> list[int]:
         """The best states, after a known state and up to a known last state where given."""
-        step, shown = self.step.tolist(), self.shown.T.tolist()
-        score = [a + b for a, b in zip(self.start.tolist() if before is None else step[before], shown[seen[0]])]
+        into, shown = self.step.T.tolist(), self.shown.T.tolist()
+        score = [a + b for a, b in zip((self.start if before is None else self.step[before]).tolist(), shown[seen[0]])]
         back = []
         for s in seen[1:].tolist():
             came, new = [], []
-            for j in range(3):
-                best = max(range(3), key=lambda i: score[i] + step[i][j])
-                came.append(best)
-                new.append(score[best] + step[best][j] + shown[s][j])
+            for j, say in enumerate(shown[s]):
+                both = [a + b for a, b in zip(score, into[j])]
+                top = max(both)
+                came.append(both.index(top))
+                new.append(top + say)
             back.append(came)
             score = new
-        state = max(range(3), key=score.__getitem__) if last is None else last
+        state = score.index(max(score)) if last is None else last
         path = [state]
         for came in reversed(back):
             path.append(state := came[state])
@@ -109,31 +126,34 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> tuple[pa.Table | None,
 def fit(lines: DataFrame) -> Model:
     """A model from lines with columns conv_id, turn, line_no, line, role; lines of other roles are left out.
 
-    Steps are counted between a line and the next of its row, and between a row's role and that of the next turn number.
+    A row's first line begins a turn, the others are within it; the next turn number's role follows. Null
+    roles teach nothing, a null line is an empty one, and repeated rows count once for steps.
     """
     ship(lines.sparkSession)
     known = lines.where(F.col("role").isin(*ROLES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], int] = {}
+        counts: dict[tuple[int, int], int] = {}
         for b in batches:
-            for role, line in zip(b.column("role").to_pylist(), b.column("line").to_pylist()):
-                k = (role, symbol(line or ""))
+            for role, inside, line in zip(b.column("role").to_pylist(), b.column("inside").to_pylist(), b.column("line").to_pylist()):
+                k = (2 * ROLES.index(role) + inside, symbol(line or ""))
                 counts[k] = counts.get(k, 0) + 1
         if counts:
-            yield pa.RecordBatch.from_pylist([{"role": r, "symbol": s, "n": n} for (r, s), n in counts.items()])
-
-    start, step, shown = np.zeros(3), np.zeros((3, 3)), np.zeros((3, SYMBOLS))
-    for r in known.select("role", "line").mapInArrow(run, "role string, symbol long, n long").groupBy("role", "symbol").agg(F.sum("n").alias("n")).collect():
-        shown[ROLES.index(r.role), r.symbol] += r.n
-    rows = known.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))  # one row for each, however often it is repeated
-    for r in rows.groupBy("role", (F.col("turn") == 0).alias("first")).agg(F.sum(F.col("n") - 1).alias("stay"), F.count("*").alias("rows")).collect():
-        k = ROLES.index(r.role)
-        step[k, k] += r.stay
+            yield pa.RecordBatch.from_pylist([{"state": r, "symbol": s, "n": n} for (r, s), n in counts.items()])
+
+    start, step, shown = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS))
+    for r in known.select("role", (F.coalesce("line_no", F.lit(0)) > 0).cast("int").alias("inside"), "line").mapInArrow(run, "state long, symbol long, n long").groupBy("state", "symbol").agg(F.sum("n").alias("n")).collect():
+        shown[r.state, r.symbol] += r.n
+    rows = known.groupBy("conv_id", "turn", "role").agg(F.countDistinct("line_no").alias("n"))
+    within, more = F.sum(F.greatest(F.col("n") - 2, F.lit(0))), F.sum((F.col("n") > 1).cast("long"))
+    for r in rows.groupBy("role", (F.col("turn") == 0).alias("first")).agg(within.alias("within"), more.alias("more"), F.count("*").alias("rows")).collect():
+        k = 2 * ROLES.index(r.role)
+        step[k, k + 1] += r.more
+        step[k + 1, k + 1] += r.within
         start[k] += r.rows if r.first else 0
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    for r in rows.join(after, ["conv_id", "turn"]).groupBy("role", "next").count().collect():
-        step[ROLES.index(r.role), ROLES.index(r.next)] += r["count"]
+    for r in rows.join(after, ["conv_id", "turn"]).groupBy("role", "next", (F.col("n") > 1).cast("int").alias("inside")).count().collect():
+        step[2 * ROLES.index(r.role) + r.inside, 2 * ROLES.index(r.next)] += r["count"]
     return Model(start, step, shown)
 
 
@@ -157,9 +177,10 @@ def parse(lines: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFr
             a, b = runs[n]
             score, lead = sent.value.through(np.array([symbol(x) for x in t.column("line")[a:b].to_pylist()]))
             key = t.column("conv_id")[a].as_py()
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "run": n, "runs": len(runs), "key": None if key is None else str(key), "score": score.ravel().tolist(), "lead": lead.ravel().tolist(), "marked": marker(t.column("line")[a].as_py())[0] > 0}])
+            kinds = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("runs", pa.int64()), ("key", pa.string()), ("score", pa.list_(pa.float64())), ("lead", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "run": n, "runs": len(runs), "key": None if key is None else str(key), "score": score.ravel().tolist(), "lead": lead.ravel().tolist()}], kinds)
 
-    got = sorted(ordered.mapInArrow(edges, "part long, run long, runs long, key string, score array<double>, lead array<long>, marked boolean").collect(), key=lambda r: (r.part, r.run))  # two rows a partition
+    got = sorted(ordered.mapInArrow(edges, "part long, run long, runs long, key string, score array<double>, lead array<long>").collect(), key=lambda r: (r.part, r.run))  # two rows a partition
     fixed: dict[tuple[int, int], tuple[int | None, int | None, int | None]] = {}
     chain: list = []
     for r, nxt in zip(got, [*got[1:], None]):
@@ -167,17 +188,16 @@ def parse(lines: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFr
         if nxt is not None and nxt.part != r.part and nxt.key == r.key and r.run == r.runs - 1:
             continue
         if len(chain) > 1:
-            at, back = np.array(chain[0].score).reshape(4, 3)[3], []
+            at, back = np.array(chain[0].score).reshape(-1, STATES)[STATES], []
             for c in chain[1:]:
-                both = at[:, None] + np.array(c.score).reshape(4, 3)[:3]
+                both = at[:, None] + np.array(c.score).reshape(-1, STATES)[:STATES]
                 back.append(both.argmax(axis=0))
                 at = both.max(axis=0)
             states = [int(at.argmax())]
             for k in reversed(back):
                 states.append(int(k[states[-1]]))
             states.reverse()  # the last state of each
-            leads = [int(np.array(c.lead).reshape(4, 3)[3 if n == 0 else states[n - 1], states[n]]) for n, c in enumerate(chain)]
-            leads = [-1 if c.marked else k for k, c in zip(leads, chain)]  # a marked line always begins a turn
+            leads = [int(np.array(c.lead).reshape(-1, STATES)[STATES if n == 0 else states[n - 1], states[n]]) for n, c in enumerate(chain)]
             for n, c in enumerate(chain):
                 fixed[(c.part, c.run)] = (states[n - 1] if n else None, states[n], leads[n + 1] if n + 1 < len(chain) else None)
         chain = []
@@ -195,13 +215,13 @@ def parse(lines: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFr
             before, last, after = known.value.get((part, n), (None, None, None))
             path = sent.value.decode(np.array([symbol(x) for x in text]), before, last)
             for k, (line, s) in enumerate(zip(text, path)):
-                said, at = marker(line)
-                new = s != (path[k - 1] if k else before) or said > 0
-                follows = (path[k + 1] if k + 1 < len(path) else after)
-                ends = follows != s or (k + 1 < len(text) and marker(text[k + 1])[0] > 0)
-                roles.append(ROLES[s])
+                at = marker(line)[1]
+                role, new = ROLES[s // 2], s % 2 == 0
+                follows = path[k + 1] if k + 1 < len(path) else after
+                ends = follows is None or follows % 2 == 0
+                roles.append(role)
                 begins.append(new)
-                shown.append((f"<|{ROLES[s]}|>\n" if new else "") + (line[at:].lstrip() if at else line) + ("<|end|>\n" if ends else "\n"))
+                shown.append((f"<|{role}|>\n" if new else "") + (line[at:].lstrip() if at else line) + ("<|end|>\n" if ends else "\n"))
         yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in keep), pa.array(roles), pa.array(begins), pa.array(shown, pa.string())], names=[*keep, "role_pred", "begins", "rendered"])
 
     schema = StructType([*(f for f in ordered.schema.fields if f.name != "line"), StructField("role_pred", StringType()), StructField("begins", BooleanType()), StructField("rendered", StringType())])

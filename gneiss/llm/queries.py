@@ -23,11 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Null and empty texts have fingerprint zero; a null id is never the smallest unless all of its component are null."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
 def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Null and empty texts have the score of no words; a null id is not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "threshold", "flagged")
@@ -45,11 +47,13 @@ def _span_digest(encoder: spans.SpanEncoder, texts: list[str | None]) -> list[pa
 
 
 def op3_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, digests of what the operator returns; covered_bytes sums the spans. Null counts as empty."""
     extra = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType()), StructField("covered_bytes", LongType())]
     return spans.encoded_as(_table(spark, sf_dir, "documents"), PIECES, ("doc_id",), extra, _span_digest)
 
 
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Null and empty texts have zero words and fail."""
     rows = quality.ledger(_table(spark, sf_dir, "documents"))
     base = quality.passes("base")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality.passes()).alias("kept"))
@@ -61,31 +65,37 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, read back from the files. Null counts as empty; null ids come first, equal ids by their text's hash."""
     return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op6_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Texts that are null or without a letter are und with score 0; a null id is not held out."""
     docs = _table(spark, sf_dir, "documents")
     profiles = langid.fit(docs.where(~langid.held_out()))
     return langid.identified(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op7_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a line of each transcript. Null texts are one empty line; lines of null or other roles are parsed, but not learnt from."""
     lines = chat.transcript_lines(_table(spark, sf_dir, "conversations"))
-    held_out = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2  # the model learns from the others
+    held_out = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # the model learns from the others
     model = chat.fit(lines.where(~held_out))
     return chat.parse(lines, model, ("role",)).withColumn("held_out", held_out)
 
 
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page, read back from the archives. Null html is an empty payload, which is a payload like any other."""
     return arc.write_and_read(_table(spark, sf_dir, "pages"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a piece. Null counts as empty, which is the end id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a vector. Null, zero and non-finite vectors, and those of a null label, have no links and are kept."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
