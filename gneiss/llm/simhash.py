@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
+from gneiss.llm.frames import positional
 from gneiss.llm.words import words
 from gneiss.session import cut, ship
 
@@ -91,51 +92,54 @@ def _unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
 
 
-def _near(fp: np.ndarray, table: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of verified links, in blocks. side: only pairs across its two values count."""
-    order = np.argsort(table[:, 0], kind="stable")
-    first = table[order, 0].astype(np.int16)
-    ends = np.searchsorted(first, first + BITS, side="right")
+def near_pairs(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, tally: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of links within cells, in blocks of at most PAIRS pairs or those of one fingerprint.
+
+    cell: a number for each fingerprint, ascending. side: -1 in cells whose pairs all count; in others 0 or
+    1, and only pairs across count. tally, if given, gets added: pairs of all cells, those left by the
+    first coordinate's windows, those left by all coordinates, links.
+    """
+    table = np.bitwise_count(fp[:, None] ^ reference_fingerprints()[None, :])
+    first = cell.astype(np.int64) * 128 + table[:, 0]  # a distance is below 128, so windows never leave a cell
+    order = np.argsort(first, kind="stable")
+    first = first[order]
     starts = np.arange(len(fp)) + 1
-    lens = ends - starts
+    lens = np.searchsorted(first, first + BITS, side="right") - starts
+    sums = np.concatenate([[0], np.cumsum(lens)])
+    if tally is not None:
+        n = np.bincount(cell)
+        ones = np.bincount(cell, weights=side == 1, minlength=len(n)).astype(np.int64)
+        tally[0] += int((np.where(np.bincount(cell, weights=side < 0, minlength=len(n)) > 0, n * (n - 1) // 2, ones * (n - ones))).sum())
     at = 0
     while at < len(fp):
-        upto = int(np.searchsorted(np.cumsum(lens[at:]), PAIRS, side="right")) + at
-        upto = max(upto, at + 1)
+        upto = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, side="right")) - 1)
         n = lens[at:upto]
         i = np.repeat(np.arange(at, upto), n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[at:upto], n)
+        j = np.arange(len(i)) - np.repeat(sums[at:upto] - sums[at], n) + np.repeat(starts[at:upto], n)
         at = upto
         i, j = order[i], order[j]
-        if side is not None:
-            across = side[i] != side[j]
-            i, j = i[across], j[across]
-        for p in range(1, table.shape[1]):
-            if len(i) < 256:
-                break  # so few that verifying them is quicker
+        across = (side[i] != side[j]) | (side[i] < 0)
+        i, j = i[across], j[across]
+        if tally is not None:
+            tally[1] += len(i)
+        for p in range(1, table.shape[1]):  # the largest coordinate difference, one coordinate after the other
             a, b = table[i, p], table[j, p]
             fit = (np.maximum(a, b) - np.minimum(a, b)) <= BITS
             i, j = i[fit], j[fit]
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= BITS
+        if tally is not None:
+            tally[2:] += len(i), int(ok.sum())
         yield i[ok], j[ok]
 
 
-def link_cell(fp: np.ndarray, chunk: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of a cell's links as (u, v) of signed fingerprints."""
-    f = fp.view(np.uint64)
-    if len(f) <= 16 and not across:  # small cells: the table would cost more than it saves
-        i, j = np.triu_indices(len(f), 1)
-        ok = np.bitwise_count(f[i] ^ f[j]) <= BITS
-        pairs = [(i[ok], j[ok])]
-    else:
-        table = np.bitwise_count(f[:, None] ^ reference_fingerprints()[None, :])
-        pairs = _near(f, table, chunk if across else None)
-    root = np.arange(len(f))
-    for i, j in pairs:
+def link_cells(fp: np.ndarray, cell: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in cells, as (u, v) of signed fingerprints."""
+    root = np.arange(len(fp))
+    for i, j in near_pairs(fp.view(np.uint64), cell, side):
         _unite(root, i, j)
     while not np.array_equal(root[root], root):
         root = root[root]
-    leaf = np.flatnonzero(root != np.arange(len(f)))
+    leaf = np.flatnonzero(root != np.arange(len(fp)))
     return fp[leaf], fp[root[leaf]]
 
 
@@ -158,19 +162,39 @@ def cells_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield rest
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+def whole_cells(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows that hold whole cells only, and each row's cell as a number; from batches sorted by the cell's keys."""
+    rest: list[pa.Table] = []
     size = 0
-    for t in cells_of(batches, ["list_key", "ci", "cj"]):
-        u, v = link_cell(t.column("fp").to_numpy(), t.column("chunk").to_numpy(), t.column("ci")[0].as_py() != t.column("cj")[0].as_py())
+
+    def numbered(t: pa.Table) -> np.ndarray:
+        cols = [t.column(k).to_numpy() for k in keys]
+        return np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols], axis=0))])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rest.append(pa.Table.from_batches([b]))
+        size += b.num_rows
+        if size >= rows:
+            t = pa.concat_tables(rest).combine_chunks()
+            n = numbered(t)
+            if n[-1]:
+                last = int(np.searchsorted(n, n[-1]))
+                yield t.slice(0, last), n[:last]
+                t = t.slice(last)
+            rest, size = [t], t.num_rows
+    if size:
+        t = pa.concat_tables(rest).combine_chunks()
+        yield t, numbered(t)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, cell in whole_cells(batches, ["list_key", "ci", "cj"], 4 * CELL):
+        ci, cj, chunk = (t.column(c).to_numpy() for c in ("ci", "cj", "chunk"))
+        u, v = link_cells(t.column("fp").to_numpy(), cell, np.where(ci == cj, -1, chunk == cj))
         if len(u):
-            out.append((u, v))
-            size += len(u)
-        if size > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["u", "v"])
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def dealt(rows: DataFrame, key: str, item: str, chunk_rows: int) -> DataFrame:
@@ -226,13 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, its smallest id (ties: by the text's hash), with the columns of ``docs``."""
-    text = F.xxhash64(F.col(text_col).cast("string"))
-    found = near_duplicates(docs, id_col, text_col, known=cut(fingerprints(docs.select(F.col(id_col), F.col(text_col), text.alias("_hash")), id_col, text_col, ("_hash",))))
-    best = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("group_fp").agg(F.min(F.struct(F.col(id_col).alias("_id"), "_hash")).alias("b")).select("b._id", "b._hash").distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), text.alias("_text_hash"))
-    kept = rows.join(best, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["_key", "_text_hash"]).select("_row.*")
+    """One row of ``docs`` for each group of near-duplicates, its smallest id (ties: by the text's hash), with the columns of ``docs``.
+
+    Null and empty texts are one group. Of a group whose ids are all null, one row stays. Empty input gives no rows.
+    """
+    rows = positional(docs)
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rows = rows.withColumn("_hash", F.xxhash64(F.col(text).cast("string")))
+    found = near_duplicates(rows, key, text, known=cut(fingerprints(rows.select(key, text, "_hash"), key, text, ("_hash",))))
+    best = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("group_fp").agg(F.min(F.struct(F.col(key).alias("id"), F.col("_hash").alias("hash"))).alias("b")).select("b.*").distinct()
+    same = F.col(key).eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
+    return rows.join(best, same, "left_semi").dropDuplicates([key, "_hash"]).drop("_hash").toDF(*docs.columns)
 
 
 def hex16(fp: str):
