@@ -5,10 +5,6 @@ Each letter has a random vector of +1 and -1. An n-gram's vector binds its lette
 trigrams of letters and word ends. A language's prototype bundles its training texts, each scaled to
 length 1, and the mean of all prototypes, which every language shares, is taken off. The prediction is the
 prototype with the largest cosine.
-
-Dot products distribute over bundles, so a worker keeps each trigram's dot products with the prototypes and
-sums those; it doesn't build a text's 1024 numbers. A bundle's length comes from its counts: vectors of
-different trigrams are nearly orthogonal, which makes it sqrt(DIM * sum of squared counts).
 """
 
 from __future__ import annotations
@@ -28,8 +24,12 @@ DIM = 1024
 GRAM = 3
 #: Letters have numbers below this, 0 being a word's end; rarer letters share numbers by hash.
 LETTERS = 128
-#: Texts of each language that are learnt from, about, where there are more; chosen by hash.
+#: Texts of each language that are learnt from, about, where there are more; chosen by hash of id and text.
 TEXTS = 1500
+#: Languages whose table of shares is broadcast, at most; more are joined by a shuffle.
+SMALL_TABLE = 10_000
+#: Texts whose trigrams are bound together.
+TOGETHER = 256
 UNKNOWN = "und"
 
 
@@ -81,23 +81,22 @@ class Space:
         """The vectors of trigrams."""
         return self.rolled[0][codes // (LETTERS * LETTERS)] * self.rolled[1][codes // LETTERS % LETTERS] * self.rolled[2][codes % LETTERS]
 
-    def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The weighted sum of trigrams' vectors."""
-        out = np.zeros(DIM)
-        for at in range(0, len(codes), 4096):
-            out += weights[at : at + 4096] @ self.bind(codes[at : at + 4096]).astype(np.float64)
+    def bundles(self, texts: list[str | None]) -> np.ndarray:
+        """(n, DIM) bundles of texts: the sums of their trigrams' vectors, each as often as it occurs; zero without a letter.
+
+        Different trigrams are bound once for all of these texts; memory is a vector of bytes for each, LETTERS ** GRAM at most.
+        """
+        grams = [self.grams(t) if t else (np.zeros(0, dtype=np.int64), np.zeros(0)) for t in texts]
+        different, at = np.unique(np.concatenate([np.zeros(0, np.int64), *(c for c, _ in grams)]), return_inverse=True)
+        bound = np.concatenate([np.zeros((0, DIM), np.int8), *(self.bind(different[k : k + 4096]) for k in range(0, len(different), 4096))])
+        out, begin = np.zeros((len(texts), DIM)), 0
+        for row, (codes, counts) in enumerate(grams):
+            own, weights = at[begin : begin + len(codes)], counts.astype(np.float32)
+            begin += len(codes)
+            for k in range(0, len(own), 4096):
+                out[row] += weights[k : k + 4096] @ bound[own[k : k + 4096]].astype(np.float32)
         return out
 
-    def vector(self, text: str | None) -> np.ndarray | None:
-        """The bundle of a text; None without a letter."""
-        codes, counts = self.grams(text or "")
-        return self.bundle(codes, counts) if len(codes) else None
-
-
-def length(counts: np.ndarray) -> float:
-    """A bundle's length, its trigrams being nearly orthogonal."""
-    return float(np.sqrt(DIM * (counts * counts).sum()))
-
 
 _space: list[Space] = []
 
@@ -116,53 +115,50 @@ class Profiles:
     langs: list[str]
     prototypes: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.row = np.full(LETTERS**GRAM, -1, dtype=np.int32)
-        self.dots = np.zeros((0, len(self.langs)))
-
-    def __reduce__(self):
-        return Profiles, (self.langs, self.prototypes)
-
-    def cosines(self, text: str | None) -> np.ndarray | None:
-        """With each prototype; None without a letter."""
-        codes, counts = space().grams(text or "")
-        if not len(codes):
-            return None
-        rows = self.row[codes]
-        if (rows < 0).any():
-            new = codes[rows < 0]
-            self.row[new] = np.arange(len(self.dots), len(self.dots) + len(new))
-            self.dots = np.concatenate([self.dots, space().bind(new).astype(np.float64) @ self.prototypes.T])
-            rows = self.row[codes]
-        return counts @ self.dots[rows] / length(counts)
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and (1 + cosine) / 2; UNKNOWN and 0 without a letter or a language."""
+        named, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        for at in range(0, len(texts) if self.langs else 0, TOGETHER):
+            v = space().bundles(texts[at : at + TOGETHER])
+            size = np.linalg.norm(v, axis=1)
+            cos = v @ self.prototypes.T / np.maximum(size, 1e-9)[:, None]
+            best = cos.argmax(axis=1)
+            for k in np.flatnonzero(size > 0):
+                named[at + k], scores[at + k] = self.langs[best[k]], np.clip((1 + cos[k, best[k]]) / 2, 0, 1)
+        return named, scores
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and (1 + cosine) / 2; UNKNOWN and 0 without a letter or a language."""
-        cos = self.cosines(text) if self.langs else None
-        if cos is None:
-            return UNKNOWN, 0.0
-        k = int(cos.argmax())
-        return self.langs[k], float(np.clip((1 + cos[k]) / 2, 0, 1))
+        named, scores = self.predict_all([text])
+        return named[0], float(scores[0])
 
 
 def fit(docs: DataFrame) -> Profiles:
-    """Prototypes from about TEXTS texts of each non-null lang. Executors bundle; the driver gets a sum for each language."""
+    """Prototypes from about TEXTS texts of each non-null lang, and from one at least. Executors bundle; the driver gets a sum for each language.
+
+    Texts that are null or without a letter teach nothing. Texts are not shuffled: the share of each language
+    is a small table. Rows that repeat an id differ by their text's hash; equal rows are taken or left together.
+    """
     ship(docs.sparkSession)
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(3)), F.lit(1_000_003)).alias("_u"))
-    share = rows.groupBy("lang").agg(F.count("*").alias("_n")).select("lang", (F.lit(1_000_003) * TEXTS / F.col("_n")).alias("_most"))
-    some = rows.join(share, "lang").where("_u < _most").select("lang", "text")
+    text = F.col("text").cast("string")
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col("doc_id"), text, F.lit(3)), F.lit(1_000_003)).alias("_u"))
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+    share = lettered.groupBy("lang").agg(F.count("*").alias("_n"), F.min("_u").alias("_least")).select("lang", F.greatest(F.lit(1_000_003) * TEXTS / F.col("_n"), F.col("_least") + 1).alias("_most"))
+    small = share.limit(SMALL_TABLE + 1).collect()  # a row a language
+    if len(small) <= SMALL_TABLE:
+        share = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in small], "lang string, _most double"))
+    some = lettered.join(share, "lang").where("_u < _most").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: dict[str, np.ndarray] = {}
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                codes, counts = space().grams(text.as_py())
-                if len(codes):
-                    weights.setdefault(lang, np.zeros(LETTERS**GRAM))[codes] += counts / length(counts)
-        for lang, w in weights.items():
-            codes = np.flatnonzero(w)
-            v = space().bundle(codes, w[codes])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM), pa.int32()), pa.array(np.round(v * 2**20).astype(np.int64))], names=["lang", "place", "total"])
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                v = space().bundles(part.column("text").to_pylist())
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                for lang, x in zip(part.column("lang").to_pylist(), v):
+                    sums.setdefault(lang, np.zeros(DIM))[:] += x
+        for lang, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM), pa.int32()), pa.array(np.round(x * 2**30).astype(np.int64))], names=["lang", "place", "total"])
 
     got = some.mapInArrow(run, "lang string, place int, total long").groupBy("lang", "place").agg(F.sum("total").alias("total")).toPandas()
     langs = sorted(set(got.lang))
@@ -182,13 +178,15 @@ def identified(docs: DataFrame, profiles: Profiles, carry: tuple[str, ...] = ("d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for b in batches:
-            found = [p.predict(t.as_py()) for t in b.column("_text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*carry, "lang_pred", "score"])
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
+                named, scores = p.predict_all(part.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(named, pa.string()), pa.array(scores)], names=[*carry, "lang_pred", "score"])
 
     src = docs.select(*carry, F.col("text").cast("string").alias("_text"))
     return src.mapInArrow(run, StructType([*(f for f in src.schema.fields if f.name != "_text"), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
-    """Rows that nothing is learnt from: crc32 of the id as text, mod 3, is 1."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Rows that nothing is learnt from: crc32 of the id as text, mod 3, is 1. False for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
