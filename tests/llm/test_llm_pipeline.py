@@ -69,3 +69,16 @@ def test_simhash_component_is_smallest_reachable(spark, sf_dir):
     for r, g in zip(got, root):
         low[g] = min(low.get(g, r.doc_id), r.doc_id)
     assert all(r.component_id == low[g] for r, g in zip(got, root))
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts go, repeated rows count once, extra columns with clashing names do no harm, empty tables give no rows."""
+    text = "The quick brown fox jumps over the lazy dog near the river bank today again"
+    rows = [(1, text, "en", "s", 3, 1), (1, text, "en", "s", 3, 1), (2, text + " now", None, "s", 3, 2), (3, None, "en", None, None, 3), (4, "", "en", "s", 0, 4), (None, text.replace("fox", "cat and the hen"), "de", "s", 1, 5)]
+    for name, some in (("full", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long, kept int").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (1, 0, 0), (None, 1, 1), (9, 1, None)][: 9 * len(some)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted({(r.doc_id, r.doc_tokens) for r in got}, key=str) == (sorted({(k, len(slow_ids(t))) for k, t in ((1, text), (2, text + " now"), (None, rows[-1][1]))}, key=str) if some else [])
+        assert len(got) == len({(r.doc_id, r.start) for r in got})
