@@ -154,7 +154,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     entries = classes.select("_label", "node", "_n", "_v").mapInArrow(listed, "_label string, dim int, pivot int, node long, n long, own binary, vector binary")
     entries = entries.withColumn("list_key", F.xxhash64("_label", "dim", "pivot"))
-    cells = dealt(entries, "list_key", "node", CELL).select("list_key", "ci", "cj", *names, "chunk")
+    cells = dealt(entries, "list_key", "node", CELL, few_large=True).select("list_key", "ci", "cj", *names, "chunk")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cells_of(batches, ["list_key", "ci", "cj"]):

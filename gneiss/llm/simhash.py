@@ -39,6 +39,8 @@ PIVOTS = 24
 #: Rows of a chunk of a large list.
 CELL = 4096
 PAIRS = 1 << 20
+#: Large lists that are few enough for a broadcast.
+FEW = 50_000
 
 
 def reference_fingerprints(n: int = PIVOTS) -> np.ndarray:
@@ -197,17 +199,26 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def dealt(rows: DataFrame, key: str, item: str, chunk_rows: int) -> DataFrame:
+def dealt(rows: DataFrame, key: str, item: str, chunk_rows: int, few_large: bool = False) -> DataFrame:
     """``rows`` of every list with two or more, with the cells (ci, cj) that they go to.
 
     A list of up to chunk_rows is one cell. A larger one is split by the hash of ``item`` into chunks,
-    and a row goes to the cells that pair its chunk with each chunk.
+    and a row goes to the cells that pair its chunk with each chunk. few_large: for wide rows, where it
+    pays to compute them twice: the large lists alone are looked up, by a broadcast if they are few, so
+    that rows needn't be shuffled for it; lists of one then stay.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    found = rows.join(counts.where("_n > 1"), key) if not few_large else None
+    if few_large:
+        large = counts.where(F.col("_n") > chunk_rows).limit(FEW + 1).collect()
+        if len(large) > FEW:
+            return dealt(rows, key, item, chunk_rows)
+        table = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in large], f"{key} long, _n long"))
+        found = rows.join(table, key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     g = F.ceil(F.col("_n") / chunk_rows).cast("int")
     j = F.col("_j")
     return (
-        rows.join(counts, key)
+        found
         .withColumn("_g", g)
         .withColumn("chunk", F.pmod(F.xxhash64(item), F.col("_g")).cast("int"))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
