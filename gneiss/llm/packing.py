@@ -8,8 +8,9 @@
    the basis is kept as an inverse.
 3. Solutions are rounded down, then up while counts last. What no rounded pattern takes, less than one
    sequence a class, is packed by first fit in decreasing order, into patterns that are used once.
-4. Each piece is ranked within its class (salted, so that a common length is dealt to many tasks), and
-   rank ranges of the patterns give its sequence and slot; offsets are running sums within a sequence.
+4. Each piece is ranked within its class and salt, a row's place modulo SALTS, so that a common length is
+   dealt to many tasks; rank ranges of the patterns give its sequence and slot, and offsets are running
+   sums within a sequence. Whole sequences need no order: they are numbered within their partition.
 """
 
 from __future__ import annotations
@@ -120,17 +121,13 @@ class Plan:
     sequence: list[np.ndarray]
     slot: list[np.ndarray]
     before: np.ndarray  # (class, salt): pieces of the class in smaller salts
+    sequences: int
 
 
 def make_plan(counts: np.ndarray, room: int) -> Plan:
     """counts: pieces by (class, salt). Deterministic; no pieces give an empty plan."""
     left = counts.sum(axis=1).astype(np.int64)
     chosen: list[tuple[np.ndarray, int]] = []
-    if left[room]:
-        whole = np.zeros(room + 1, dtype=np.int64)
-        whole[room] = 1
-        chosen.append((whole, int(left[room])))
-        left[room] = 0
     parts = []
     for a, v in solve(left.copy(), room):
         n = min([int(np.floor(v + 1e-9)), *(left[a > 0] // a[a > 0])])
@@ -161,7 +158,7 @@ def make_plan(counts: np.ndarray, room: int) -> Plan:
             slot += int(a[l])
         sequence += n
     column = lambda k: [np.array([s[k] for s in x], dtype=np.int64) for x in segs]
-    return Plan(column(0), column(1), column(2), column(3), np.cumsum(counts, axis=1) - counts)
+    return Plan(column(0), column(1), column(2), column(3), np.cumsum(counts, axis=1) - counts, sequence)
 
 
 def place(plan: Plan, kind: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,16 +216,31 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = F.ceil(F.col("length") / UNIT).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id", "text_hash", "start"), F.lit(SALTS)).cast("int")
-    rows = cut(pieces(docs, vocabulary).withColumns({"kind": kind, "salt": salt}))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = cut(pieces(docs, vocabulary).withColumns({"kind": kind, "salt": salt, "part": F.spark_partition_id()}))
     room = ROOM // UNIT
+    full = F.col("length") == ROOM
     counts = np.zeros((room + 1, SALTS), dtype=np.int64)
-    for r in rows.groupBy("kind", "salt").count().collect():  # room * SALTS rows at most
+    for r in rows.where(~full).groupBy("kind", "salt").count().collect():  # room * SALTS rows at most
         counts[r["kind"], r["salt"]] = r["count"]
+    wholes = {r["part"]: r["count"] for r in rows.where(full).groupBy("part").count().collect()}  # a row a partition
     plan = spark.sparkContext.broadcast(make_plan(counts, room))  # at most room patterns of few classes each, and those used once
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("doc_id", "text_hash", "start")).cast("long") - 1)
+    packed = plan.value.sequences
+    ahead = dict(zip(sorted(wholes), packed + np.cumsum([0, *(wholes[k] for k in sorted(wholes))])))
+    firsts = spark.sparkContext.broadcast(ahead)
+    ranked = rows.where(~full).withColumn("rank", F.row_number().over(Window.partitionBy("kind", "salt").orderBy("doc_id", "text_hash", "start")).cast("long") - 1)
     carry = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole sequences, in the order of the written partition that they are read from."""
+        at: dict[int, int] = {}
+        for b in batches:
+            if b.num_rows:
+                part = b.column("part")[0].as_py()  # a task reads one written partition
+                first = at.setdefault(part, int(firsts.value[part]))
+                at[part] += b.num_rows
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(np.arange(first, first + b.num_rows)), pa.array(np.zeros(b.num_rows, np.int64))], names=[*carry, "sequence_id", "offset"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for b in batches:
@@ -238,4 +250,6 @@ def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     placed = ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.select(*carry, "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+    parts = placed.select(*carry, "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+    whole = rows.where(full).mapInArrow(number, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return parts.unionByName(whole)
