@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from gneiss.llm import arc, chat, embedding_dedup, langid, packing, quality, simhash, spans, tokenfile, toxicity
+from gneiss.llm import arc, chat, embedding_dedup, hard_negatives, langid, merkle, packing, quality, sharding, simhash, spans, tokenfile, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -99,7 +99,26 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op7_chat_hmm, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup, quality_ablations)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row an anchor, positive and negative. Rows without a label, or with a vector that isn't sound, take no part."""
+    return hard_negatives.mine(hard_negatives.prepared(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Null fields are hashed as a dash; the group of null languages comes first."""
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+#: Shards of the sharding query.
+SHARDS = 40
+
+
+def op13_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document. Null texts have the size of no text; null ids are hashed like any other."""
+    return sharding.assigned(_table(spark, sf_dir, "documents"), SHARDS)
+
+
+ALL = (op1_simhash_near_dedup, op2_toxicity_cnn, op3_sentencepiece_spans, op4_quality_ledger, op5_token_file, op6_language_hd, op7_chat_hmm, op8_arc_to_warc, op9_packing, op10_embedding_near_dedup, op11_hard_negatives, op12_merkle_manifest, op13_virtual_slots, quality_ablations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -107,4 +126,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_ledger": quality.query_sql(), "quality_ablations": quality.ablation_sql(), "op8_arc_to_warc": arc.QUERY_SQL}
+    return {"op4_quality_ledger": quality.query_sql(), "quality_ablations": quality.ablation_sql(), "op8_arc_to_warc": arc.QUERY_SQL, "op11_hard_negatives": hard_negatives.QUERY_SQL, "op12_merkle_manifest": merkle.QUERY_SQL}
