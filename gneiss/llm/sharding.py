@@ -60,11 +60,14 @@ def _placed(kept: DataFrame, moving: DataFrame, shards: int, only_from: int = 0)
     pool = moving.agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("minus"), "vslot", "rows"))).alias("pool"))
 
     def place(acc, x):
-        at = F.array_position(acc["loads"], F.array_min(acc["loads"]))  # from 1; of equals the first
-        return F.struct(
-            F.transform(acc["loads"], lambda load, i: F.when(i + 1 == at, load - x["minus"]).otherwise(load)).alias("loads"),
-            F.concat(acc["shards"], F.array((at - 1 + only_from).cast("int"))).alias("shards"),
-        )
+        def at_lightest(at):
+            return F.struct(
+                F.transform(acc["loads"], lambda load, i: F.when(i + 1 == at, load - x["minus"]).otherwise(load)).alias("loads"),
+                F.concat(acc["shards"], F.array((at - 1 + only_from).cast("int"))).alias("shards"),
+            )
+
+        lightest = F.array_position(acc["loads"], F.array_min(acc["loads"]))  # from 1; of equals the first
+        return F.transform(F.array(lightest), at_lightest)[0]  # evaluated once, not for every load
 
     start = F.struct(F.col("loads"), F.array().cast("array<int>").alias("shards"))
     done = loads.crossJoin(pool).select("pool", F.aggregate("pool", start, place, lambda acc: acc["shards"]).alias("shards"))  # one row with one row
@@ -98,7 +101,8 @@ def grown(current: DataFrame, shards: int) -> DataFrame:
 
 def store_map(version: DataFrame, folder: str) -> None:
     """Writes one version of a map beside the earlier ones; a version is never overwritten."""
-    (number,) = version.select("version").distinct().toDF("v").first()
+    version = cut(version)
+    number = version.first()["version"]
     version.drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={number}")
 
 
