@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gneiss.plans import base
 
-MODULES = ("text_queries", "search_queries", "conversation_queries", "metric_queries", "rule_queries", "graph_queries", "sql_queries", "source_queries", "python_queries", "stream_queries")
+MODULES = ("text_queries", "search_queries", "conversation_queries", "metric_queries", "rule_queries", "graph_queries", "sql_queries", "source_queries", "python_queries", "stream_queries", "state_queries")
 
 
 def _all() -> None:

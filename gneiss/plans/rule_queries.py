@@ -210,14 +210,19 @@ def progress_nudge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("user_id").agg(F.expr(NUDGE).alias("nudge"))
 
 
-@query("""SELECT user_id, CAST(row_number() OVER (ORDER BY rate DESC, user_id) AS BIGINT) AS place, CASE WHEN rate >= 0.9 THEN 8 WHEN rate >= 0.7 THEN 4 ELSE 3 END AS workers FROM (SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events GROUP BY user_id) ORDER BY rate DESC, user_id LIMIT 20""")
+@query("""SELECT user_id, CAST(row_number() OVER (ORDER BY rate DESC, user_id) AS BIGINT) AS place, CASE WHEN rate >= 0.9 THEN 8 WHEN rate >= 0.7 THEN 4 ELSE 3 END AS workers FROM (SELECT user_id, round(avg(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate FROM events GROUP BY user_id)""")
 def tool_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 most reliable tools, and workers by success rate. The schedule of calls is ``tool_call_schedule``."""
-    top = load(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") != "error").cast("double")), 6).alias("rate")).orderBy(F.desc("rate"), "user_id").limit(20)
+    """Every tool's place by success rate, and workers. The schedule of calls is ``tool_call_schedule``.
+
+    Rates have six places, so there are at most a million: places are counted by rate first, then within each rate.
+    """
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.orderBy(F.desc("rate"), "user_id")).cast("long")  # of 20 rows
-    return top.select("user_id", place.alias("place"), F.when(F.col("rate") >= 0.9, 8).when(F.col("rate") >= 0.7, 4).otherwise(3).alias("workers"))
+    tools = load(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg((F.col("event_type") != "error").cast("double")), 6).alias("rate"))
+    better = Window.orderBy(F.desc("rate")).rowsBetween(Window.unboundedPreceding, -1)  # of rates, not of tools
+    rates = tools.groupBy("rate").agg(F.count("*").alias("n")).select("rate", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("rate").orderBy("user_id"))
+    return tools.join(rates, "rate").select("user_id", place.alias("place"), F.when(F.col("rate") >= 0.9, 8).when(F.col("rate") >= 0.7, 4).otherwise(3).alias("workers"))
 
 
 @query()

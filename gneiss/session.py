@@ -50,6 +50,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table written to the shared folder and read again. Unlike a checkpoint it keeps none of the plan's constraints, which would grow with every round of a loop."""
+    path = shared_folder(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows and bytes of an Arrow batch to a Python worker, at most, where the session has Spark's defaults: two workers share an executor's spare memory.
 ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
 
