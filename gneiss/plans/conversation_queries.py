@@ -12,6 +12,7 @@ from gneiss.functions import text as T
 from gneiss.operators import compaction
 from gneiss.plans.base import load, query
 from gneiss.plans.text_queries import CJK_SQL
+from gneiss.session import ship
 
 WINDOW_TOKENS = 400
 EST = f"CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, CAST(trunc(len(regexp_extract_all(text, '{CJK_SQL}')) / 1.5::DOUBLE + (length(text) - len(regexp_extract_all(text, '{CJK_SQL}'))) / 4.0::DOUBLE) AS BIGINT)) END"
@@ -138,7 +139,7 @@ def compact_tool_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layered_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six layers within growing shares of a budget; a fold for each conversation."""
+    """Six layers within growing shares of a budget."""
     return compaction.summaries(load(spark, sf_dir, "conversations"), 120)
 
 
@@ -164,5 +165,5 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept.append((r.scope, r.n, r.id, total))
         return pd.DataFrame(kept, columns=["scope", "n", "id", "tokens"])
 
-    compaction.ship(spark)
+    ship(spark)
     return top.groupBy("scope").applyInPandas(run, "scope long, n int, id long, tokens long")

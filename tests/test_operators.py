@@ -27,47 +27,6 @@ def test_tokenizer_pairs(spark):
     assert spark.createDataFrame([("测试用例 Ab1",)], "t string").select(T.tokens(F.col("t"))).first()[0] == ["测", "试", "用", "例", "ab1", "测试", "用例"]
 
 
-def test_compaction_keeps_order_and_budget():
-    m = [{"role": "system", "turn": 0, "text": "s"}] + [{"role": r, "turn": k, "text": "word " * 200} for k, r in enumerate(["user", "assistant", "assistant_progress", "assistant_tool_call", "tool_result"] * 10, 1)]
-    out = compaction.compact(m, 5000)
-    turns = [x["turn"] for x in out]
-    assert turns == sorted(turns) and out[0]["role"] == "system" and not any(x["role"] == "assistant_progress" for x in out)
-    assert sum(map(compaction.cost, out)) <= 3500 + compaction.cost(m[0])
-    assert compaction.compact(m, 10**9) is m
-
-
-def test_fold_of_calls():
-    pair = lambda tool, said, error=False, **given: compaction.pair_summary({"tool": tool, "input": given, "text": ""}, {"text": said, "error": error})
-    assert pair("edit_file", "x", path="a.py") == "[Edited a.py: ok]" and pair("multi_edit", "x", filePath="a", edits=[1, 2]) == "[Edited a: 2 changes applied]"
-    assert pair("read_file", "1\n2", path="b") == "[Read b: 2 lines]" and pair("list_files", "") == "[list_files: completed]"
-    assert pair("web_search", "# h\nhit\n\nhit", query="q") == "[Searched 'q': 2 results]" and pair("bash", "x\nExit code 3", command="make all") == "[Ran make (Exit code 3)]"
-    assert pair("other", " a\nb ") == "[other: a b]" and pair("bash", "no\nway", True) == "[Tool bash ERROR: no way]"
-    assert [x["role"] for x in compaction.fuse([{"role": "assistant_tool_call", "turn": 1, "text": "a"}, {"role": "tool_result", "turn": 2, "text": "b"}, {"role": "user", "turn": 3, "text": "c"}])] == ["assistant", "user"]
-
-
-def test_results_keep_what_their_tool_asks_for():
-    long = "\n".join(["x" * 9] * 500)
-    sizes = {t: len(compaction.shorten(long, compaction.result_limit({"tool": t, "error": e}))) for t, e in (("read_file", False), ("edit_file", False), ("other", False), ("bash", True))}
-    assert [n // 100 for n in (sizes["read_file"], sizes["other"], sizes["edit_file"], sizes["bash"])] == [15, 20, 30, 40]
-    assert compaction.shorten("y" * 1800, 1500) == "y" * 1800
-
-
-def test_layers_and_marker():
-    said = [("user", "Please fix it"), ("assistant", "We will use a cache. It is late.\n```py\nprint('a long enough snippet')\n```"), ("user", "u" * 300)]
-    talk = [{"role": r, "turn": k, "text": t} for k, (r, t) in enumerate(said)]
-    talk += [{"role": "assistant_tool_call", "turn": 3, "text": "", "tool": "edit_file", "input": {"path": "a/b.py"}}, {"role": "tool_result", "turn": 4, "text": "done", "tool": "edit_file"}, {"role": "assistant_tool_call", "turn": 5, "text": "", "tool": "bash", "input": {"command": "make x"}}, {"role": "tool_result", "turn": 6, "text": "bad\nline", "tool": "bash", "error": True}, {"role": "assistant_tool_call", "turn": 7, "text": "", "tool": "web_search", "input": {"query": "why"}}]
-    assert compaction.layered(compaction.extract(talk)).split("\n") == [
-        "## User requests:", "- Please fix it", "- " + "u" * 200 + "...", "## Key decisions:", "- We will use a cache", "## Files: a/b.py", "## Searched: why", "## Key results:", "- edit_file ok: done", "- ran: make", "- ERROR(bash): bad line",
-        "## Conclusions:", "- We will use a cache. It is late. ```py print('a long enough snippet') ```", "## Code patterns:", "```", "print('a long enough snippet')", "```", "## Tools: edit_file, bash, web_search",
-    ]
-    assert compaction.layered(compaction.extract(talk), 10).split("\n")[:3] == ["## User requests:", "  ... and 2 more", "## Key decisions:"]
-    m = [{"role": "system", "turn": 0, "text": "s"}, {"role": "user", "turn": 1, "text": "first wish"}, *({"role": "assistant", "turn": k, "text": "word " * 200} for k in range(2, 40))]
-    out, entry = compaction.with_marker(m, 5000)
-    assert out[1]["role"] == "system" and out[1]["text"].startswith(f"[Context compacted at 00:00:00. {len(m) - len(out) + 1} messages removed. Token usage: 192% → ") and "## Conclusions:" in out[1]["text"]
-    assert entry == {"level": 0, "before_tokens": sum(map(compaction.cost, m)), "after_tokens": sum(map(compaction.cost, out)), "removed": len(m) - len(out)}
-    assert compaction.with_marker(m[:3], 10**9) == (m[:3], None)
-
-
 def test_hmac_and_split(spark):
     df = spark.createDataFrame([("a 'b c' d",), (None,), ("it's",)], "t string")
     assert [r[0] for r in df.select(source_code.hmac_hex(F.col("t"), "k")).collect()] == [hmac.new(b"k", b"a 'b c' d", hashlib.sha256).hexdigest(), None, hmac.new(b"k", b"it's", hashlib.sha256).hexdigest()]
