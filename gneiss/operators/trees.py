@@ -51,7 +51,7 @@ def file_tree(files: DataFrame, now: Column, max_depth: int = 3, show_hidden: bo
         raise ValueError("max_depth must be between 1 and 10")
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = files.select(parts.alias("p"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), "ts").where("size(p) > 0")
-    folders = F.slice("p", 1, F.size("p") - 1)
+    folders = F.slice("p", F.lit(1), F.greatest(F.size("p") - 1, F.lit(0)))
     if not show_hidden:
         rows = rows.where(~F.exists("p", lambda x: x.startswith(".")))
     rows = rows.where(~F.arrays_overlap(folders, F.array(*map(F.lit, ignored))) if ignored else F.lit(True))
@@ -68,9 +68,10 @@ def file_tree(files: DataFrame, now: Column, max_depth: int = 3, show_hidden: bo
         return F.concat(F.when(F.lit(folder) if isinstance(folder, bool) else folder, "0").otherwise("1"), F.lower(x), F.lit("\u0001"), x)
 
     shown = dirs.unionByName(leaves).where(F.size("p") <= max_depth + 1)
-    n = F.size("p")
-    key = F.concat(F.transform(F.slice("p", 1, n - 1), lambda x: mark(x, True)), F.array(mark(F.element_at("p", -1), F.col("is_dir"))))
-    shown = shown.withColumns({"sort_key": key, "parent": F.slice("p", 1, n - 1)})
+    n, name = F.size("p"), F.try_element_at("p", F.lit(-1))  # a filter on what follows may come before that on empty paths
+    parent = F.slice("p", F.lit(1), F.greatest(n - 1, F.lit(0)))
+    key = F.concat(F.transform(parent, lambda x: mark(x, True)), F.array(mark(name, F.col("is_dir"))))
+    shown = shown.withColumns({"sort_key": key, "parent": parent})
     ends = shown.groupBy("parent").agg(F.max("sort_key").alias("end"))
     # Each entry asks for the last entries of the folders on its way: at most max_depth + 1 rows an entry.
     levels = F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("level"), F.slice("p", 1, k - 1).alias("parent"), F.slice("sort_key", 1, k).alias("own"))))
@@ -80,7 +81,6 @@ def file_tree(files: DataFrame, now: Column, max_depth: int = 3, show_hidden: bo
         F.array_join(F.transform(F.slice("lasts", 1, F.size("lasts") - 1), lambda x: F.when(x, "    ").otherwise("│   ")), ""),
         F.when(F.element_at("lasts", -1), "└── ").otherwise("├── "),
     )
-    name = F.element_at("p", -1)
     out = shown.join(drawn, "sort_key")
     if pattern:
         out = out.where(F.contains(name, F.lit(pattern)))
