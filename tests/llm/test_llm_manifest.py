@@ -205,14 +205,14 @@ def test_virtual_slots(spark, tmp_path):
 
 def test_maps_grow_and_shrink(spark):
     totals = spark.range(512).select(F.col("id").cast("int").alias("vslot"), (F.col("id") * 37 % 101 + 20).alias("bytes"), F.lit(1).cast("long").alias("rows"))
-    now = sharding.rebalanced(sharding.first_map(totals, 8), 8)
+    now = sharding.cut(sharding.rebalanced(sharding.cut(sharding.first_map(totals, 8)), 8))
     shards = lambda m: {r.vslot: r.shard for r in m.collect()}
     loads = lambda m: {r.shard: r.load for r in m.groupBy("shard").agg(F.sum("bytes").alias("load")).collect()}
     assert len(shards(now)) == 512 and max(loads(now).values()) - min(loads(now).values()) <= 120
-    more = sharding.grown(now, 10)
+    more = sharding.cut(sharding.grown(now, 10))
     assert all(s == shards(now)[k] or s in (8, 9) for k, s in shards(more).items()) and more.first().version == 3
     assert min(loads(more)[8], loads(more)[9]) > 0.8 * sum(loads(now).values()) / 10
-    fewer = sharding.rebalanced(more, 6)
+    fewer = sharding.cut(sharding.rebalanced(more, 6))
     assert set(loads(fewer)) == set(range(6)) and max(loads(fewer).values()) - min(loads(fewer).values()) <= 120
     with pytest.raises(ValueError):
         sharding.grown(now, 8)
@@ -236,3 +236,16 @@ def test_no_rows_are_sharded(spark):
 def test_slots_are_native(spark, sf_dir):
     plan = sharding.slotted(sharding.records(spark.read.parquet(f"{sf_dir}/documents.parquet")))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+# --- 2: a hot id --------------------------------------------------------------------------------------------------------
+
+
+def test_a_repeated_label_brings_one_text_to_the_driver(spark, monkeypatch):
+    from gneiss.llm import toxicity
+
+    rows = [(1, f"copy {k} of a text", "en") for k in range(3000)] + [(k, "clean words here", "en") for k in range(2, 40)] + [(50, None, None), (None, "x", "en")]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, langs: seen.append((len(texts), sorted(toxic))))
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k == 1)) for k in [*range(1, 40), 1, 50]] + [(None, 1)], "doc_id long, toxic int"))
+    assert seen == [(40, [0] * 39 + [1])]
