@@ -17,7 +17,8 @@ def test_equals_sql(name, spark, sf_dir, rows_of, duck_rows):
     assert sorted(df.columns) == names and rows_of(df) == expected
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n.startswith("op")))
+# op11 has a row for each negative that it finds, not for each vector: its SQL, above, says how many.
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n.startswith("op") and not n.startswith("op11")))
 def test_whole_table(name, spark, sf_dir):
     df = queries.queries()[name](spark, sf_dir)
     table = {"op8": "pages", "op10": "embeddings"}.get(name.split("_")[0], "documents")
