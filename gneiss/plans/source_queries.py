@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.plans.base import load, query
 from gneiss.session import shared_folder
 from gneiss.sources import memory_files as M
+from gneiss.sources import sessions as S
 
 RAW = "CASE WHEN doc_id % 11 = 0 THEN '{broken' WHEN doc_id % 7 = 0 THEN '{\"id\":\"\",\"content\":\"x\",\"scope\":\"user\"}' WHEN doc_id % 5 = 0 THEN '{\"id\":\"' || doc_id || '\",\"content\":\"x\",\"scope\":\"nowhere\"}' ELSE '{\"id\":\"' || doc_id // 2 || '\",\"content\":\"' || source || '\",\"scope\":\"user\"}' END"
 PROBLEM = "CASE WHEN doc_id % 11 = 0 THEN 'no JSON' WHEN doc_id % 7 = 0 THEN 'no id' WHEN doc_id % 5 = 0 THEN 'bad scope' END"
@@ -62,6 +63,37 @@ def session_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"))
 
 
+def _stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as files of a store, written and read again: four turns a file, deltas with the turn before them too; every fifth has a broken delta as well, every seventh a broken file of its own."""
+    turns = load(spark, sf_dir, "conversations")
+    in_parts = turns.select("*", F.explode(F.when(F.col("turn") % 4 == 3, F.expr("array(turn div 4, turn div 4 + 1)")).otherwise(F.expr("array(turn div 4)"))).alias("part"))
+    files = in_parts.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    sid = F.col("conv_id").cast("string")
+    own = F.to_json(F.struct(sid.alias("session_id"), (F.col("conv_id") / 4).alias("created_at"), (F.col("conv_id") % 100).cast("double").alias("updated_at"), F.lit("/work").alias("workspace"), "messages"))
+    delta = F.to_json(F.struct((F.col("part") * 4 - 1).alias("msg_offset"), "messages"))
+    first = F.col("part") == 0
+    path = F.when(first, F.concat(F.lit("/store/"), sid, F.lit(".json"))).otherwise(F.concat(F.lit("/store/deltas/"), sid, F.lit("/delta_"), F.lpad(F.col("part").cast("string"), 4, "0"), F.lit(".json")))
+    raw = F.when(~first, delta).when(F.col("conv_id") % 7 == 0, F.concat(F.lit("{"), own)).otherwise(own)
+    broken = files.where(first & (F.col("conv_id") % 5 == 0)).select(F.concat(F.lit("/store/deltas/"), sid, F.lit("/delta_0000.json")).alias("path"), F.left(own, F.lit(20)).alias("raw"))
+    to = shared_folder(spark, "store")
+    files.select(path.alias("path"), raw.alias("raw")).unionByName(broken).write.parquet(to)
+    return S.parts(spark.read.parquet(to))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS session, turn AS place, role, text AS content FROM conversations WHERE conv_id % 7 <> 0")
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions from their own files and deltas, overlaps once, broken files left out."""
+    return S.messages(_stored_sessions(spark, sf_dir))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session, conv_id / 4 AS created_at, CAST(conv_id % 100 AS DOUBLE) AS updated_at, '/work' AS workspace, count(*) AS message_count,
+coalesce(left(arg_min(text, turn) FILTER (WHERE role = 'user'), 100), '') AS first_message, coalesce(left(arg_max(text, turn) FILTER (WHERE role IN ('user', 'assistant')), 100), '') AS last_message
+FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id""")
+def session_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a session; `refresh_index` keeps it for a folder of files."""
+    return S.index(_stored_sessions(spark, sf_dir))
+
+
 @query("SELECT doc_id, CAST(n_chars AS BIGINT) AS chars FROM documents")
 def compressed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts through compressed CSV files."""
