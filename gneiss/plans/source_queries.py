@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.plans.base import load, query
 from gneiss.session import shared_folder
 from gneiss.sources import memory_files as M
+from gneiss.sources import named_files, profiles
 from gneiss.sources import sessions as S
 
 RAW = "CASE WHEN doc_id % 11 = 0 THEN '{broken' WHEN doc_id % 7 = 0 THEN '{\"id\":\"\",\"content\":\"x\",\"scope\":\"user\"}' WHEN doc_id % 5 = 0 THEN '{\"id\":\"' || doc_id || '\",\"content\":\"x\",\"scope\":\"nowhere\"}' ELSE '{\"id\":\"' || doc_id // 2 || '\",\"content\":\"' || source || '\",\"scope\":\"user\"}' END"
@@ -39,6 +40,35 @@ def profile_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "nation").select("n_nationkey", F.element_at(p, "name").alias("name"), F.element_at(p, "region").alias("region"))
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS language, c_custkey % 2 = 0 AS auto_format, CAST(c_custkey % 9 AS INT) AS indent_size, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS patterns, 'about ' || c_mktsegment AS context FROM customer""")
+def profile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles written as Markdown, with lines that say nothing put in, and read again."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    values = {"language": F.when(k % 3 == 0, "").otherwise(segment), "auto_format": k % 2 == 0, "indent_size": (k % 9).cast("int")}
+    fields = lambda kinds: F.struct(*[values.get(name, F.lit({"string": "", "int": 0, "boolean": False}[kind])).alias(name) for name, kind in kinds.items()])
+    patterns = F.filter(F.array(F.col("c_name")), lambda x: k % 5 != 0)
+    p = F.struct(fields(profiles.PREFERENCES).alias("preferences"), fields(profiles.CODING_STYLE).alias("coding_style"), patterns.alias("common_patterns"), F.concat(F.lit("about "), segment).alias("project_context"), F.lit("").alias("custom_instructions"))
+    md = F.concat(F.replace(profiles.render(p), F.lit("## Coding Style"), F.lit("- **Unknown**: x\nfree text\n## coding style")), F.lit("## Other\n- **Language**: none\n"))
+    back = load(spark, sf_dir, "customer").select("c_custkey", profiles.parse(md).alias("p"))
+    return back.select("c_custkey", "p.preferences.language", "p.preferences.auto_format", "p.coding_style.indent_size", F.array_join("p.common_patterns", ",").alias("patterns"), F.col("p.project_context").alias("context"))
+
+
+@query("""WITH e AS (SELECT doc_id // 100 AS f, doc_id, coalesce(lang, 'none') AS category, doc_id || ' has ' || n_chars AS content, source FROM documents),
+c AS (SELECT f, category, min(doc_id) AS lo FROM e GROUP BY ALL), n AS (SELECT e.*, row_number() OVER (PARTITION BY f ORDER BY lo, doc_id) - 1 AS i, row_number() OVER (PARTITION BY f ORDER BY doc_id) - 1 AS j FROM e JOIN c USING (f, category))
+SELECT 'm' || f AS folder, CAST(CASE WHEN f % 3 = 0 THEN i ELSE j END AS INT) AS place, CASE WHEN f % 3 = 0 THEN 'local-' || (i + 1) ELSE 'd' || doc_id END AS id, category, content, 'from ' || source AS tags FROM n""")
+def memory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories written as JSON and Markdown files, a folder a hundred documents, and read again; every third folder's JSON is broken, so its Markdown counts."""
+    f = F.expr("doc_id div 100")
+    entries = load(spark, sf_dir, "documents").select(F.concat(F.lit("m"), f.cast("string")).alias("folder"), F.lit("local").alias("scope"), F.col("doc_id").alias("place"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.coalesce("lang", F.lit("none")).alias("category"), F.concat(F.col("doc_id").cast("string"), F.lit(" has "), F.col("n_chars").cast("string")).alias("content"), F.array(F.lit("from"), "source").alias("tags"), F.lit(1).cast("long").alias("usage_count"))
+    to = shared_folder(spark, "memories")
+    broken = (F.col("name") == "memory.json") & (F.substring("folder", 2, 20).cast("long") % 3 == 0)
+    texts = M.memory_texts(entries, "2024-01-01 00:00")
+    named_files.write_files(texts.select(F.concat(F.lit(f"{to}/"), "folder", F.lit("/"), "name").alias("path"), F.when(broken, F.concat(F.lit("{"), "raw")).otherwise(F.col("raw")).alias("raw")))
+    path = F.col("_metadata.file_path")
+    files = spark.read.option("recursiveFileLookup", "true").text(to, wholetext=True).select(F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("folder"), F.lit("local").alias("scope"), F.regexp_extract(path, "[^/]+$", 0).alias("name"), F.col("value").alias("raw"))
+    return M.load_memories(files).select("folder", "place", "id", "category", "content", F.array_join("tags", " ").alias("tags"))
+
+
 @query("SELECT n_nationkey, 'Skill of ' || n_name AS description FROM nation")
 def skill_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S11."""
