@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import delimited, edits, regex
+from gneiss.functions import json as J
 from gneiss.functions import text as T
 from gneiss.plans.base import any_hit, load, query
 
@@ -114,6 +116,64 @@ def regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.size(m).cast("long").alias("n_matches"), F.concat_ws("|", m).alias("matches"), F.coalesce(F.get(m, 0), F.lit("")).alias("first"))
 
 
+SPAN = "(?P<capital>[A-Z])([a-z]*)ing"
+
+
+@query("""WITH m AS (SELECT doc_id, regexp_extract_all(text, '([A-Z])([a-z]*)ing') AS m, regexp_extract_all(text, '([A-Z])([a-z]*)ing', 1) AS a, regexp_extract_all(text, '([A-Z])([a-z]*)ing', 2) AS b, list_transform(regexp_split_to_array(text, '([A-Z])([a-z]*)ing'), lambda x: length(x)) AS gaps FROM documents WHERE text IS NOT NULL),
+r AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)
+SELECT doc_id, CAST(i AS INT) AS n, m[i] AS match, CAST(list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start, CAST(list_sum(gaps[1:i]) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS stop, a[i] AS capital, b[i] AS middle FROM r""")
+def regex_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """every match with its span, groups and named groups."""
+    m = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(regex.all_matches(F.col("text"), SPAN)).alias("i", "m"))
+    return m.select("doc_id", (F.col("i") + 1).alias("n"), "m.match", "m.start", "m.stop", F.element_at("m.named", "capital").alias("capital"), F.get("m.groups", 1).alias("middle"))
+
+
+@query("""WITH a AS (SELECT doc_id, text, left(text, 12) AS head FROM documents WHERE text <> ''), b AS (SELECT *, contains(substring(text, 2), head) AS twice FROM a),
+c AS (SELECT *, 'HEAD' || substring(text, length(head) + 1) AS t1 FROM b)
+SELECT doc_id, CAST(CASE WHEN twice THEN 0 WHEN contains(t1, 'the ') THEN 2 ELSE 1 END AS INT) AS applied, CAST(CASE WHEN twice THEN 1 WHEN NOT contains(t1, 'the ') THEN 2 END AS INT) AS failed,
+CASE WHEN twice THEN 'ambiguous' WHEN NOT contains(t1, 'the ') THEN 'not found' END AS problem, CASE WHEN twice OR NOT contains(t1, 'the ') THEN text ELSE replace(t1, 'the ', 'THE ') END AS edited FROM c""")
+def edit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits a text, the first one of its first twelve characters, which must be there only once."""
+    t = F.col("text")
+    todo = F.array(F.struct(F.left(t, F.lit(12)).alias("search"), F.lit("HEAD").alias("replace"), F.lit(False).alias("all")), F.struct(F.lit("the ").alias("search"), F.lit("THE ").alias("replace"), F.lit(True).alias("all")))
+    done = load(spark, sf_dir, "documents").where(t != "").select("doc_id", edits.apply_edits(t, todo).alias("r"))
+    return done.select("doc_id", "r.applied", "r.failed", "r.problem", F.col("r.text").alias("edited"))
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '"' || event_type || '"' WHEN 7 THEN '["a","' || event_type || '","c"]' END AS value,
+CASE event_id % 8 WHEN 2 THEN 'invalid path' WHEN 3 THEN 'not found' WHEN 4 THEN 'cannot index' WHEN 5 THEN 'not found' WHEN 6 THEN 'invalid JSON' END AS problem FROM events""")
+def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a path for each row through nested JSON, some of it broken."""
+    kind = F.col("event_id") % 8
+    raw = F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tags": ["a", "'), "event_type", F.lit('", "c"]}, "v": null, "props": '), "props", F.when(kind == 6, "").otherwise("}"))
+    paths = ("user.id", "user.tags.-2", "user.tags.3", "v", "props.k.x", "missing", "user.id", "user.tags")
+    return load(spark, sf_dir, "events").select("event_id", J.walk(raw, F.get(F.array(*map(F.lit, paths)), kind.cast("int"))).alias("w")).select("event_id", "w.value", "w.problem")
+
+
+@query("""SELECT event_id, '{' || chr(10) || '  "k": ' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',' || chr(10) || '  "none": [],' || chr(10) || '  "in": [' || chr(10) || '    "' || event_type || '"' || chr(10) || '  ]' || chr(10) || '}' AS layout FROM events""")
+def json_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON a line a member."""
+    raw = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(',"none":[ ],"in":["'), "event_type", F.lit('"]}'))
+    return load(spark, sf_dir, "events").select("event_id", J.pretty(raw).alias("layout"))
+
+
+@query(f"SELECT doc_id, CAST(line_no AS VARCHAR) AS n, CASE WHEN line_no % 3 <> 2 THEN line END AS line FROM {LINES_SQL}")
+def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited text of each document's lines, its delimiter by row, some rows short or long, read as records by its header."""
+    d = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\t")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = F.transform(T.lines(F.col("text")), lambda x, i: F.concat(i.cast("string"), F.when(i % 3 == 2, "").otherwise(F.concat(d, F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'), F.when(i % 3 == 1, F.concat(d, F.lit("more"))).otherwise("")))))
+    raw = F.concat(F.lit("n"), d, F.lit("line\r\n"), F.array_join(rows, "\n"))
+    records = load(spark, sf_dir, "documents").select("doc_id", F.explode(delimited.records_of(delimited.rows_of(raw, d))).alias("r"))
+    return records.select("doc_id", F.try_element_at("r", F.lit("n")).alias("n"), F.try_element_at("r", F.lit("line")).alias("line"))
+
+
+@query("""SELECT conv_id, 'turn;role;text' || chr(13) || chr(10) || string_agg(turn || ';' || role || ';' || CASE WHEN regexp_matches(text, '[";\r\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || chr(13) || chr(10), '' ORDER BY turn) AS csv FROM conversations GROUP BY conv_id""")
+def csv_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON arrays of objects as delimited texts, one a conversation."""
+    turns = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role", "text")))).alias("json"))
+    return turns.select("conv_id", delimited.text_of(F.col("json"), F.lit(";"))["text"].alias("csv"))
+
+
 @query("SELECT doc_id, regexp_replace(text, '([a-z]+)@([a-z]+)', '\\2 at \\1', 'g') AS replaced, CAST(len(regexp_extract_all(text, '([a-z]+)@([a-z]+)')) AS BIGINT) AS n FROM documents")
 def regex_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2."""
