@@ -34,9 +34,7 @@ def java_pattern(pattern: str, flags: str = "") -> tuple[str, re.Pattern[str]]:
             return first + _CLASS.sub(lambda x: x[0] if x[0][0] == "\\" else "".join("\\" + c for c in x[0]), m[3][len(head) : -1]) + "]"
         return f"(?:\\{compiled.groupindex[m[4]]})" if m[4] else "("
 
-    # Empty matches would be found between the two halves of a character beyond 16 bits.
-    whole = r"(?:\A|(?<=[\x{0}-\x{10FFFF}]))"
-    return f"(?dU{''.join(c for c in 'ims' if c in flags)}){whole}(?:{_TOKEN.sub(translate, pattern)})", compiled
+    return f"(?dU{''.join(c for c in 'ims' if c in flags)})(?:{_TOKEN.sub(translate, pattern)})", compiled
 
 
 def all_matches(text: Column, pattern: str, flags: str = "") -> Column:
@@ -45,8 +43,11 @@ def all_matches(text: Column, pattern: str, flags: str = "") -> Column:
     Offsets are running sums over the lengths of matches and of the gaps between them, so the pattern runs twice and once more for each group, and nothing is shuffled. A group that took no part is empty, as Spark has it. A null text has null, a text without a match an empty array.
     """
     java, compiled = java_pattern(pattern, flags)
+    # In texts with characters beyond 16 bits, matches could begin between the two halves of one.
+    whole = r"(?:\A|(?<=[\x{0}-\x{10FFFF}]))" + java
+    java = F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), whole).otherwise(java)
     names = sorted(compiled.groupindex, key=compiled.groupindex.get)
-    group = lambda k: F.regexp_extract_all(text, F.lit(java), F.lit(k))
+    group = lambda k: F.regexp_extract_all(text, java, F.lit(k))
     zero = F.array(F.lit(0).cast("long"))
 
     def spans(found: Column, gaps: Column) -> Column:

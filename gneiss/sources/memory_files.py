@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
+from gneiss.functions.arrays import let
 
 #: Fixed value: the scopes that an entry may have.
 SCOPES = ("user", "project", "local")
@@ -56,19 +57,20 @@ def markdown_entries(markdown: Column, scope: Column) -> Column:
     """
     sections = F.split(F.coalesce(markdown, F.lit("")), r"(?U)(?<![^\n])(?=[^\S\n]*## [^\n]*[^\s\x1c-\x1f])")
 
-    def entries(section: Column) -> Column:
-        lines = F.transform(F.split(section, "\n"), _strip)
+    def entry(item: Column, category: Column) -> Column:
+        marked = F.contains(item, F.lit("`"))
+        words = F.flatten(F.transform(F.regexp_extract_all(item, F.lit("`([^`]+)`"), F.lit(1)), lambda t: F.filter(F.split(t, rf"(?U){SPACE}+"), lambda w: w != "")))
+        content = F.when(marked, _strip(F.regexp_replace(item, "`[^`]+`", ""))).otherwise(item)
+        return F.struct(category.alias("category"), content.alias("content"), words.alias("tags"))
+
+    def of_lines(lines: Column) -> Column:
         first = lines[0]
         category = F.when(F.startswith(first, F.lit("## ")), F.lower(_strip(F.substring(first, 4, 1 << 30)))).otherwise("general")
         items = F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("- "))), lambda x: F.substring(x, 3, 1 << 30))
+        return let(category, lambda c: F.transform(items, lambda x: entry(x, c)))
 
-        def entry(item: Column) -> Column:
-            marked = F.contains(item, F.lit("`"))
-            words = F.flatten(F.transform(F.regexp_extract_all(item, F.lit("`([^`]+)`"), F.lit(1)), lambda t: F.filter(F.split(t, rf"(?U){SPACE}+"), lambda w: w != "")))
-            content = F.when(marked, _strip(F.regexp_replace(item, "`[^`]+`", ""))).otherwise(item)
-            return F.struct(category.alias("category"), content.alias("content"), words.alias("tags"))
-
-        return F.transform(items, entry)
+    def entries(section: Column) -> Column:
+        return let(F.transform(F.split(section, "\n"), _strip), of_lines)
 
     rows = F.flatten(F.transform(sections, entries))
     numbered = F.transform(rows, lambda e, i: F.struct(F.concat(scope, F.lit("-"), (i + 1).cast("string")).alias("id"), scope.alias("scope"), e["category"].alias("category"), e["content"].alias("content"), e["tags"].alias("tags"), F.lit(0).cast("long").alias("usage_count")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gneiss.functions.arrays import let
 from gneiss.sources.memory_files import _strip
 
 #: The fields of the sections of ``- **key**: value`` lines, with their types, in the order in which they are written.
@@ -46,19 +47,25 @@ def parse(markdown: Column) -> Column:
 
     Sections begin at ``## name``, whatever the case; of equal names the last one counts, and so does the last of equal keys. Lines that don't fit, unknown keys and sections are left out. A null text is a profile of empty fields.
     """
-    text = F.coalesce(markdown, F.lit(""))
-    bodies = F.split(text, HEADING)
-    sections = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), lambda h, i: F.struct(_key(h).alias("key"), F.get(bodies, i + 1).alias("value")))
     pair = r"(?U)^-\s+\*\*(.+?)\*\*:\s*(.+)$"
     item = r"(?U)^-\s+(.+)$"
 
-    def fields(section: str, kinds: dict[str, str]) -> Column:
-        found = F.transform(F.filter(_lines(_last(sections, section)), lambda x: x.rlike(pair)), lambda x: F.struct(_key(F.regexp_extract(x, pair, 1)).alias("key"), _strip(F.regexp_extract(x, pair, 2)).alias("value")))
-        return F.struct(*[_typed(_last(found, k), kind).alias(k) for k, kind in kinds.items()])
+    def fields(body: Column, kinds: dict[str, str]) -> Column:
+        found = F.transform(F.filter(_lines(body), lambda x: x.rlike(pair)), lambda x: F.struct(_key(F.regexp_extract(x, pair, 1)).alias("key"), _strip(F.regexp_extract(x, pair, 2)).alias("value")))
+        return let(found, lambda f: F.struct(*[_typed(_last(f, k), kind).alias(k) for k, kind in kinds.items()]))
+
+    def profile(sections: Column) -> Column:
+        body = lambda name: _last(sections, name)
+        patterns = F.transform(F.filter(_lines(body("common_patterns")), lambda x: x.rlike(item)), lambda x: _strip(F.regexp_extract(x, item, 1)))
+        free = [_strip(F.coalesce(body(s), F.lit(""))).alias(s) for s in ("project_context", "custom_instructions")]
+        return F.struct(fields(body("preferences"), PREFERENCES).alias("preferences"), fields(body("coding_style"), CODING_STYLE).alias("coding_style"), patterns.alias("common_patterns"), *free)
+
+    def of_text(text: Column) -> Column:
+        heads = F.transform(F.regexp_extract_all(text, F.lit(HEADING), F.lit(1)), _key)
+        bodies = F.split(text, HEADING)
+        return let(F.zip_with(heads, F.slice(bodies, F.lit(2), F.size(heads)), lambda k, v: F.struct(k.alias("key"), v.alias("value"))), profile)
 
-    patterns = F.transform(F.filter(_lines(_last(sections, "common_patterns")), lambda x: x.rlike(item)), lambda x: _strip(F.regexp_extract(x, item, 1)))
-    free = [_strip(F.coalesce(_last(sections, s), F.lit(""))).alias(s) for s in ("project_context", "custom_instructions")]
-    return F.struct(fields("preferences", PREFERENCES).alias("preferences"), fields("coding_style", CODING_STYLE).alias("coding_style"), patterns.alias("common_patterns"), *free)
+    return let(F.coalesce(markdown, F.lit("")), of_text)
 
 
 def render(profile: Column) -> Column:
